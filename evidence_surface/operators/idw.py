@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS
 from .grid import RESOLUTION, grid_meta
-from .neighbours import cell_neighbours, site_neighbours
+from .neighbours import cell_groups, cell_values, site_groups, site_smoothed
 from .sites import SiteIndex, build_site_index
 
 POWER = 2.0
@@ -25,41 +25,6 @@ def check_power(power: float) -> float:
     return float(power)
 
 
-def weight(d: Column, power: float) -> Column:
-    return 1.0 / F.pow(F.when(d == 0, F.lit(ZERO_DISTANCE)).otherwise(d), F.lit(float(power)))
-
-
-def weighted_mean(near: Column, power: float, value: str = "value") -> Column:
-    """Mean of the neighbours' values; null without neighbours."""
-    weighed = F.transform(
-        near, lambda n: F.struct(weight(n["d"], power).alias("w"), n[value].alias("v"))
-    )
-    start = F.struct(F.lit(0.0).alias("wv"), F.lit(0.0).alias("w"))
-    return F.aggregate(
-        weighed,
-        start,
-        lambda acc, n: F.struct(
-            (acc["wv"] + n["w"] * n["v"]).alias("wv"), (acc["w"] + n["w"]).alias("w")
-        ),
-        lambda acc: F.try_divide(acc["wv"], acc["w"]),
-    )
-
-
-def surface_value(
-    near: Column,
-    power: float = POWER,
-    preserve_points: bool = True,
-    point_radius: float = POINT_RADIUS,
-    value: str = "value",
-) -> Column:
-    """Weighted mean, or the nearest point's value strictly within the radius."""
-    mean = weighted_mean(near, power, value)
-    if not preserve_points:
-        return mean
-    first = F.try_element_at(near, F.lit(1))
-    return F.when(first["d"] < point_radius, first[value]).otherwise(mean)
-
-
 def idw_surface(
     points: DataFrame,
     resolution: float = RESOLUTION,
@@ -75,11 +40,11 @@ def idw_surface(
     if n_neighbors < 1:
         raise ValueError("n_neighbors must be at least 1")
     index = index or build_site_index(points, n_neighbors)
-    cells = cell_neighbours(
+    groups = cell_groups(
         grid_meta(points, resolution), index, n_neighbors, broadcast_rows=broadcast_rows
     )
-    value = surface_value(F.col("near"), power, preserve_points, point_radius)
-    return cells.withColumn("value", value).drop("near")
+    radius = point_radius if preserve_points else None
+    return cell_values(groups, n_neighbors, power, radius, ZERO_DISTANCE)
 
 
 def smooth_sites(
@@ -93,9 +58,8 @@ def smooth_sites(
     power = check_power(power)
     if k <= 0:
         return index.sites.withColumn("smoothed", F.col("value"))
-    near = site_neighbours(index, k, exclude_self, broadcast_rows)
-    mean = weighted_mean(F.col("near"), power)
-    return near.withColumn("smoothed", F.coalesce(mean, F.col("value"))).drop("near")
+    groups = site_groups(index, k, exclude_self, broadcast_rows)
+    return site_smoothed(groups, k, power, ZERO_DISTANCE, exclude_self)
 
 
 def smooth_crowd(

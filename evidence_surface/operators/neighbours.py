@@ -5,7 +5,8 @@ page of points. Per group the index is walked from its top level down. At
 each level the boxes' greatest distances give a radius that surely holds
 enough sites, and boxes that start beyond it are left out. A group that still
 sees too many sites is split. What remains is a short candidate list per
-group, exact for each of its members, and each member ranks only that list.
+group, exact for each of its members, and each member ranks only that list
+(`ranking`). Groups, not points or cells, are what is shuffled.
 
 Distance is planar, on degrees. Rank is by (distance, point_id).
 """
@@ -14,11 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import BROADCAST_ROWS, shuffle_partitions, small_side
+from . import ranking
 from .sites import SiteIndex
 
+# executors need not have the package: the helper travels with its tasks
+cloudpickle.register_pickle_by_value(ranking)
+
 BLOCK = 16  # cells per side of a block; a power of SPLIT
 SPLIT = 4  # a block splits into SPLIT x SPLIT
 SPLIT_ABOVE = 192  # sites a group may see before it is split
@@ -39,6 +45,11 @@ def _norm(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _slack(radius: Column) -> Column:
+    """Covers the rounding of distances; a wider radius is still exact."""
+    return radius * (1 + 1e-9) + 1e-9
+
+
 def _with_distances(pairs: DataFrame) -> DataFrame:
     x = [F.col(c) for c in ("x0", "x1", "n_x0", "n_x1")]
     y = [F.col(c) for c in ("y0", "y1", "n_y0", "n_y1")]
@@ -47,27 +58,20 @@ def _with_distances(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _prune(pairs: DataFrame, keys: Sequence[str], need: int, by_site: bool = False) -> DataFrame:
+def _prune(pairs: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
     """Keep the boxes that can hold one of the `need` nearest sites of any
-    place in the group. All are kept if the map has fewer sites than that.
-
-    `by_site`: the boxes are single sites and n_node is their point_id. Then a
-    group of one place has exact distances, and its own ranking decides.
-    """
+    place in the group, with the `radius` that says so. It is infinite if the
+    map has fewer sites than that."""
     group = Window.partitionBy(*keys)
-    nearest_first = group.orderBy("dmax", "n_node").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    bounded = (
+    nearest_first = group.orderBy("dmax").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = F.min(F.when(F.col("seen") >= need, F.col("dmax"))).over(group)
+    return (
         _with_distances(pairs)
         .withColumn("seen", F.sum("n_cnt").over(nearest_first))
-        .withColumn("radius", F.min(F.when(F.col("seen") >= need, F.col("dmax"))).over(group))
+        .withColumn("radius", F.coalesce(_slack(enough), F.lit(float("inf"))))
+        .where(F.col("dmin") <= F.col("radius"))
+        .drop("seen", "dmin", "dmax")
     )
-    slack = F.col("radius") * (1 + 1e-9) + 1e-9
-    keep = F.col("radius").isNull() | (F.col("dmin") <= slack)
-    if by_site:
-        keep = (F.col("seen") <= need) | (keep & (F.col("dmin") < F.col("dmax")))
-    return bounded.where(keep).drop("seen", "radius", "dmin", "dmax")
 
 
 def _as_boxes(level: DataFrame, *extra: Column) -> DataFrame:
@@ -115,7 +119,8 @@ def candidates(
         if split is None:
             return df
         visible = F.sum("n_cnt").over(Window.partitionBy(*keys))
-        return _prune(split(df.withColumn("crowded", visible > SPLIT_ABOVE)), keys, need)
+        parts = split(df.withColumn("crowded", visible > SPLIT_ABOVE).drop("radius"))
+        return _prune(parts, keys, need)
 
     pairs = refine(pairs)
     for level, rows in reversed(list(zip(index.levels[:-1], index.level_rows[:-1]))):
@@ -128,48 +133,26 @@ def candidates(
         pairs = refine(pairs)
 
     members = (index.sites if sites is None else sites).select(
-        "map_id",
-        "page",
-        F.col("point_id").alias("n_node"),
-        F.col("lon").alias("n_x0"),
-        F.col("lon").alias("n_x1"),
-        F.col("lat").alias("n_y0"),
-        F.col("lat").alias("n_y1"),
-        F.lit(1).cast("bigint").alias("n_cnt"),
-        *values,
+        "map_id", "page", "point_id", "lon", "lat", *[F.col(v).alias(f"v_{v}") for v in values]
     )
-    pairs = pairs.select(*carried, F.col("n_node").alias("page")).join(
+    pairs = pairs.select(*carried, "radius", F.col("n_node").alias("page")).join(
         small_side(members, index.n_sites, broadcast_rows), ["map_id", "page"]
-    ).drop("page")
+    )
+    x = _gap(F.col("x0"), F.col("x1"), F.col("lon"), F.col("lon"))
+    y = _gap(F.col("y0"), F.col("y1"), F.col("lat"), F.col("lat"))
+    pairs = pairs.where(_norm(x, y) <= F.col("radius"))
     if index.n_sites > broadcast_rows:
         pairs = pairs.repartition(n, *placed_by)
-    pairs = _prune(pairs, keys, need, by_site=True)
-    site = F.struct(
-        F.col("n_node").alias("point_id"),
-        F.col("n_x0").alias("lon"),
-        F.col("n_y0").alias("lat"),
-        *values,
-    )
     rest = [F.first(c).alias(c) for c in carried if c not in keys]
+    site = F.struct("point_id", "lon", "lat", *[F.col(f"v_{v}").alias(v) for v in values])
     return pairs.groupBy(*keys).agg(*rest, F.collect_list(site).alias("cands"))
 
 
-def ranked(
-    cands: Column,
-    lon: Column,
-    lat: Column,
-    k: int,
-    values: Sequence[str] = ("value",),
-    but: Column | None = None,
-) -> Column:
-    """The k nearest of `cands`, nearest first, as structs (d, point_id, values)."""
-
-    def measured(c: Column) -> Column:
-        d = _norm(c["lon"] - lon, c["lat"] - lat)
-        return F.struct(d.alias("d"), c["point_id"].alias("point_id"), *[c[v].alias(v) for v in values])
-
-    pool = cands if but is None else F.filter(cands, lambda c: c["point_id"] != but)
-    return F.slice(F.sort_array(F.transform(pool, measured)), 1, k)
+def page_lists(sites: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
+    """map_id, page, places: the sites of each page, at most a page's worth."""
+    return sites.groupBy("map_id", "page").agg(
+        F.collect_list(F.struct("point_id", "lon", "lat", *values)).alias("places")
+    )
 
 
 # --- grid cells ------------------------------------------------------------
@@ -268,51 +251,45 @@ def cell_groups(
     )
 
 
-def expand_cells(groups: DataFrame, k: int, values: Sequence[str] = ("value",)) -> DataFrame:
-    """One row per cell: map_id, i, j, lon, lat, near and the groups' other columns."""
-    side = F.col("side")
-    dropped = (*CELL_KEYS[1:], *GRID_COLUMNS, *_BOX, "cands", "c")
-    cells = (
-        groups.withColumn("c", F.explode(F.sequence(F.lit(0), side * side - 1)))
-        .withColumns(
-            {
-                "i": F.col("i0") + F.floor(F.col("c") / side).cast("int"),
-                "j": F.col("j0") + F.col("c") % side,
-            }
-        )
-        .where((F.col("i") < F.col("ny")) & (F.col("j") < F.col("nx")))
-        .withColumns(
-            {
-                "lon": F.col("min_lon") + F.col("j") * F.col("resolution"),
-                "lat": F.col("min_lat") + F.col("i") * F.col("resolution"),
-            }
-        )
-    )
-    near = ranked(F.col("cands"), F.col("lon"), F.col("lat"), k, values)
-    return cells.withColumn("near", near).drop(*dropped)
+def _ranking_input(groups: DataFrame, *extra: str) -> DataFrame:
+    return groups.select("map_id", "i0", "j0", "side", *GRID_COLUMNS, "cands", *extra)
 
 
-def cell_neighbours(
-    meta: DataFrame,
-    index: SiteIndex,
+def cell_neighbours(groups: DataFrame, k: int, values: Sequence[str] = ("value",)) -> DataFrame:
+    """The k nearest sites of each cell: map_id, i, j, rn, point_id, d, values."""
+    key = groups.schema["map_id"].dataType.simpleString()
+    schema = f"map_id {key}, i int, j int, rn int, point_id bigint, d double"
+    schema += "".join(f", {v} double" for v in values)
+    return _ranking_input(groups).mapInArrow(ranking.cell_rows(k, list(values)), schema)
+
+
+def cell_values(
+    groups: DataFrame,
     k: int,
+    power: float,
+    radius: float | None,
+    zero_distance: float,
     values: Sequence[str] = ("value",),
-    sites: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    return expand_cells(cell_groups(meta, index, k, values, sites, broadcast_rows), k, values)
+    """Interpolated values of each cell: map_id, i, j, lon, lat, values; and
+    over_<value> if the groups carry `over`, given values of single cells."""
+    override = "over" in groups.columns
+    key = groups.schema["map_id"].dataType.simpleString()
+    columns = [*values, *(f"over_{v}" for v in values if override)]
+    schema = f"map_id {key}, i int, j int, lon double, lat double"
+    schema += "".join(f", {c} double" for c in columns)
+    run = ranking.cell_surface(k, list(values), power, radius, zero_distance, override)
+    return _ranking_input(groups, *(["over"] if override else [])).mapInArrow(run, schema)
 
 
 # --- the sites themselves --------------------------------------------------
 
-PAGE_KEYS = ("map_id", "qpage", "member")
+PAGE_KEYS = ("map_id", "zone", "qpage", "member")
 _WHOLE_PAGE = -1
 
 
 def _page_splitter(index: SiteIndex, broadcast_rows: int) -> Callable[[DataFrame], DataFrame]:
-    places = index.sites.groupBy("map_id", F.col("page").alias("of_page")).agg(
-        F.collect_list(F.struct("point_id", "lon", "lat")).alias("places")
-    )
+    places = page_lists(index.sites, ()).withColumnRenamed("page", "of_page")
 
     def split(pairs: DataFrame) -> DataFrame:
         here = small_side(places, index.n_sites, broadcast_rows).withColumnRenamed("map_id", "of_map")
@@ -341,37 +318,54 @@ def _page_splitter(index: SiteIndex, broadcast_rows: int) -> Callable[[DataFrame
     return split
 
 
-def site_neighbours(
+def site_groups(
     index: SiteIndex, k: int, exclude_self: bool = True, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """The index's sites with `near`, their k nearest other sites of the map."""
+    """Pages of sites, or single sites, with `places` (the page) and `cands`."""
     need = k + 1 if exclude_self else k
     if index.per_location < need:
         raise ValueError(f"the index keeps {index.per_location} points per location, {need} are needed")
     n = shuffle_partitions(index.sites.sparkSession)
+    # placed by pairs of pages: an explicit placement equal to the one the
+    # pages were grouped by would be dropped, and its partition count with it
     pages = (
         index.levels[0]
         .select(
             "map_id",
+            F.shiftright("node", 1).alias("zone"),
             F.col("node").alias("qpage"),
             F.lit(_WHOLE_PAGE).cast("bigint").alias("member"),
             *_BOX,
         )
-        .repartition(n, "map_id", "qpage")
+        .repartition(n, "map_id", "zone")
     )
     # one level: a map has few pages, so no page can see too many
     split = _page_splitter(index, broadcast_rows) if len(index.levels) > 1 else None
-    grouped = candidates(
-        pages, PAGE_KEYS, ("map_id", "qpage"), index, need, split, broadcast_rows=broadcast_rows
+    groups = candidates(
+        pages, PAGE_KEYS, ("map_id", "zone"), index, need, split, broadcast_rows=broadcast_rows
     ).select("map_id", F.col("qpage").alias("page"), "member", "cands")
-    joined = grouped.join(
-        small_side(index.sites, index.n_sites, broadcast_rows), ["map_id", "page"]
-    ).where((F.col("member") == _WHOLE_PAGE) | (F.col("member") == F.col("point_id")))
-    near = ranked(
-        F.col("cands"),
-        F.col("lon"),
-        F.col("lat"),
-        k,
-        but=F.col("point_id") if exclude_self else None,
+    lists = page_lists(index.sites, ("value", "loc_rank"))
+    return groups.join(small_side(lists, index.n_sites, broadcast_rows), ["map_id", "page"])
+
+
+def site_neighbours(groups: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """The k nearest sites of each site: map_id, point_id, rn, neighbour_id, d, value."""
+    key = groups.schema["map_id"].dataType.simpleString()
+    schema = f"map_id {key}, point_id bigint, rn int, neighbour_id bigint, d double, value double"
+    return groups.select("map_id", "member", "places", "cands").mapInArrow(
+        ranking.site_rows(k, exclude_self), schema
+    )
+
+
+def site_smoothed(
+    groups: DataFrame, k: int, power: float, zero_distance: float, exclude_self: bool = True
+) -> DataFrame:
+    """The sites with `smoothed`, the weighted mean of their k nearest."""
+    key = groups.schema["map_id"].dataType.simpleString()
+    schema = (
+        f"map_id {key}, page bigint, point_id bigint, lon double, lat double, value double, "
+        "loc_rank int, smoothed double"
+    )
+    return groups.select("map_id", "page", "member", "places", "cands").mapInArrow(
+        ranking.site_means(k, exclude_self, power, zero_distance), schema
     )
-    return joined.withColumn("near", near).drop("cands", "member")
