@@ -20,7 +20,9 @@ def is_valid(value: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """Null stays null, which `greatest` alone would skip."""
+    inside = F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    return F.when(value.isNotNull(), inside)
 
 
 def normalise(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS
 from .grid import RESOLUTION, grid_meta
-from .neighbours import cell_groups, cell_values, site_groups, site_smoothed
+from .neighbours import cell_groups, cell_values, site_groups, site_neighbours, site_smoothed
 from .sites import SiteIndex, build_site_index
 
 POWER = 2.0
@@ -47,6 +47,31 @@ def idw_surface(
     return cell_values(groups, n_neighbors, power, radius, ZERO_DISTANCE)
 
 
+def point_neighbours(
+    points: DataFrame,
+    index: SiteIndex,
+    k: int = SMOOTHING_K,
+    exclude_self: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The k nearest (other) points of every point: map_id, point_id, rn,
+    neighbour_id, d, value."""
+    groups = site_groups(index, k, exclude_self, broadcast_rows)
+    near = site_neighbours(groups, k, exclude_self)
+    crowd = crowd_members(points, index, _first_of_crowds(index, k), broadcast_rows)
+    if crowd is None:
+        return near
+    listed = crowd.select("map_id", "point_id", F.posexplode("first").alias("pos", "n")).select(
+        "map_id",
+        "point_id",
+        (F.col("pos") + 1).alias("rn"),
+        F.col("n.point_id").alias("neighbour_id"),
+        F.lit(0.0).alias("d"),
+        F.col("n.value").alias("value"),
+    )
+    return near.unionByName(listed)
+
+
 def smooth_sites(
     index: SiteIndex,
     k: int = SMOOTHING_K,
@@ -62,28 +87,32 @@ def smooth_sites(
     return site_smoothed(groups, k, power, ZERO_DISTANCE, exclude_self)
 
 
-def smooth_crowd(
-    points: DataFrame, index: SiteIndex, k: int, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame | None:
-    """Smoothed values of the points the index left out: map_id, point_id, lon,
-    lat, value, smoothed.
-
-    Each lies on a location with more than k points before it, so its k nearest
-    are the location's first k, all at distance zero and of equal weight.
-    """
-    if index.full_locations == 0:
-        return None
-    at = ["map_id", "lon", "lat"]
-    crowds = (
-        index.sites.groupBy(*at)
+def _first_of_crowds(index: SiteIndex, k: int) -> DataFrame:
+    """Locations with points beyond those the index keeps, and their first k."""
+    kept = F.when(F.col("loc_rank") <= k, F.struct("point_id", "value"))
+    return (
+        index.sites.groupBy("map_id", "lon", "lat")
         .agg(
             F.max("loc_rank").alias("kept"),
             F.max("point_id").alias("last_id"),
-            F.avg(F.when(F.col("loc_rank") <= k, F.col("value"))).alias("smoothed"),
+            F.array_sort(F.collect_list(kept)).alias("first"),
         )
         .where(F.col("kept") == index.per_location)
         .drop("kept")
     )
+
+
+def crowd_members(
+    points: DataFrame, index: SiteIndex, crowds: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame | None:
+    """The points the index left out, with their location's columns of `crowds`.
+
+    Each lies on a location with more than k points before it, so its k nearest
+    are the location's first k, all at distance zero.
+    """
+    if index.full_locations == 0:
+        return None
+    at = ["map_id", "lon", "lat"]
     left_out = points.select("map_id", "point_id", "lon", "lat", "value")
     if index.full_locations <= broadcast_rows:
         joined = left_out.join(F.broadcast(crowds), at)
@@ -95,6 +124,16 @@ def smooth_crowd(
     return joined.where(F.col("point_id") > F.col("last_id")).drop("last_id")
 
 
+def smooth_crowd(
+    points: DataFrame, index: SiteIndex, k: int, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame | None:
+    """`smoothed` of the points the index left out: neighbours at distance zero
+    have equal weights."""
+    total = F.aggregate("first", F.lit(0.0), lambda acc, n: acc + n["value"])
+    crowds = _first_of_crowds(index, k).withColumn("smoothed", total / F.size("first")).drop("first")
+    return crowd_members(points, index, crowds, broadcast_rows)
+
+
 def knn_smooth(
     points: DataFrame,
     k: int = SMOOTHING_K,

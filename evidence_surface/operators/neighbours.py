@@ -4,7 +4,7 @@ Queries come in groups that lie close together: a block of grid cells, or a
 page of points. Per group the index is walked from its top level down. At
 each level the boxes' greatest distances give a radius that surely holds
 enough sites, and boxes that start beyond it are left out. A group that still
-sees too many sites is split. What remains is a short candidate list per
+sees too many boxes is split. What remains is a short candidate list per
 group, exact for each of its members, and each member ranks only that list
 (`ranking`). Groups, not points or cells, are what is shuffled.
 
@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(ranking)
 
 BLOCK = 16  # cells per side of a block; a power of SPLIT
 SPLIT = 4  # a block splits into SPLIT x SPLIT
-SPLIT_ABOVE = 192  # sites a group may see before it is split
+SPLIT_ABOVE = 32  # boxes of a level a group may see before it is split
 TOP_JOIN_SALTS = 16
 
 _BOX = ("x0", "x1", "y0", "y1")
@@ -118,7 +118,7 @@ def candidates(
         df = _prune(df, keys, need)
         if split is None:
             return df
-        visible = F.sum("n_cnt").over(Window.partitionBy(*keys))
+        visible = F.count("*").over(Window.partitionBy(*keys))
         parts = split(df.withColumn("crowded", visible > SPLIT_ABOVE).drop("radius"))
         return _prune(parts, keys, need)
 

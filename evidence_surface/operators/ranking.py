@@ -50,12 +50,16 @@ def near_box(found: dict[str, np.ndarray], lon: np.ndarray, lat: np.ndarray, nee
     return {c: f[keep] for c, f in found.items()}
 
 
+def distances(found: dict[str, np.ndarray], lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    dx = lon[:, None] - found["lon"]
+    dy = lat[:, None] - found["lat"]
+    return np.sqrt(dx * dx + dy * dy)
+
+
 def nearest(found: dict[str, np.ndarray], lon, lat, k: int, but: np.ndarray | None = None):
     """Candidate numbers and distances of each place's k nearest, by
     (distance, point_id). `but` names a candidate each place leaves out."""
-    dx = lon[:, None] - found["lon"]
-    dy = lat[:, None] - found["lat"]
-    d = np.sqrt(dx * dx + dy * dy)
+    d = distances(found, lon, lat)
     count = d.shape[1]
     if but is not None:
         d[found["point_id"] == but[:, None]] = np.inf
@@ -64,6 +68,19 @@ def nearest(found: dict[str, np.ndarray], lon, lat, k: int, but: np.ndarray | No
     return order, np.take_along_axis(d, order, axis=1)
 
 
+def nearest_set(d: np.ndarray, k: int) -> np.ndarray:
+    """As `nearest`, in any order: a selection, and a full sort only for places
+    with a tie at their k-th distance."""
+    if d.shape[1] <= k:
+        return np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    order = np.argpartition(d, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(d, order[:, k - 1 :], axis=1)
+    tied = np.flatnonzero((d <= last).sum(axis=1) > k)
+    if len(tied):
+        order[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return order
+
+
 def weighted_means(d: np.ndarray, values: np.ndarray, power: float, zero: float) -> np.ndarray:
     weights = 1.0 / np.where(d == 0, zero, d) ** power
     return (weights * values).sum(axis=1) / weights.sum(axis=1)
@@ -172,12 +189,16 @@ def cell_surface(
             def parts():
                 for n, i, j, lon, lat in _blocks(batch):
                     found = near_box(lists.of(n), lon, lat, k)
-                    order, d = nearest(found, lon, lat, k)
+                    d = distances(found, lon, lat)
+                    order = nearest_set(d, k)
+                    near = np.take_along_axis(d, order, axis=1)
+                    first = d.argmin(axis=1)
                     part = {"i": i, "j": j, "lon": lon, "lat": lat}
                     for v in values:
-                        known = found[v][order]
-                        mean = weighted_means(d, known, power, zero)
-                        part[v] = mean if radius is None else np.where(d[:, 0] < radius, known[:, 0], mean)
+                        part[v] = weighted_means(near, found[v][order], power, zero)
+                        if radius is not None:
+                            captured = d[np.arange(len(d)), first] < radius
+                            part[v] = np.where(captured, found[v][first], part[v])
                     if over is not None:
                         part.update(_override(over.of(n), i, j, values))
                     yield n, part

@@ -37,7 +37,7 @@ class SiteIndex:
     """`sites`: map_id, point_id, lon, lat, value, page, loc_rank.
 
     `levels`: finest first, each with map_id, node, parent, its bounding box
-    x0, x1, y0, y1 and the number of sites cnt; `level_rows` are their sizes.
+    x0, x1, y0, y1 and the number of sites cnt; `level_rows` bound their sizes.
     `per_location` is the number of points kept per exact location.
     """
 
@@ -47,6 +47,7 @@ class SiteIndex:
     level_rows: tuple[int, ...]
     per_location: int
     full_locations: int
+    n_maps: int
 
 
 def _spread_bits(value: Column) -> Column:
@@ -74,34 +75,32 @@ def first_per_location(points: DataFrame, keep: int) -> DataFrame:
     return points.withColumn("loc_rank", F.row_number().over(w)).where(F.col("loc_rank") <= keep)
 
 
-def _node_counts(sites: DataFrame, shifts: list[int]):
-    """Nodes over all maps, and in the largest map, per shift of the position."""
-    part, local = F.shiftright("pos", 33), F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
-    runs = sites.groupBy("map_id", part.alias("part")).agg(
-        F.min(local).alias("lo"),
-        F.max(local).alias("hi"),
+def _stats(stored: DataFrame, per_location: int):
+    """Sites and full locations in all, and of the largest map the sites and
+    the partitions it spans: scalars that bound the levels' sizes."""
+    part = F.shiftright("pos", 33)
+    per_map = stored.groupBy("map_id").agg(
         F.count("*").alias("cnt"),
-        F.count_if(F.col("loc_rank") == F.col("keep")).alias("full"),
+        F.count_if(F.col("loc_rank") == per_location).alias("full"),
+        (F.max(part) - F.min(part) + 1).alias("parts"),
     )
-    within = {
-        f"n{s}": F.sum(F.shiftright("hi", s) - F.shiftright("lo", s) + 1) for s in shifts if s <= 33
+    totals = {
+        "sites": F.sum("cnt"),
+        "full": F.sum("full"),
+        "parts": F.sum("parts"),
+        "maps": F.count("*"),
+        "map_sites": F.max("cnt"),
+        "map_parts": F.max("parts"),
     }
-    across = {
-        f"n{s}": F.shiftright(F.max("part"), s - 33) - F.shiftright(F.min("part"), s - 33) + 1
-        for s in shifts
-        if s > 33
-    }
-    per_map = runs.groupBy("map_id").agg(
-        F.sum("cnt").alias("cnt"),
-        F.sum("full").alias("full"),
-        *[c.alias(n) for n, c in {**within, **across}.items()],
-    )
-    return per_map.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"),
-        F.coalesce(F.sum("full"), F.lit(0)).alias("full"),
-        *[F.coalesce(F.sum(f"n{s}"), F.lit(0)).alias(f"n{s}") for s in shifts],
-        *[F.coalesce(F.max(f"n{s}"), F.lit(0)).alias(f"m{s}") for s in shifts],
-    ).first()
+    return per_map.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in totals.items()]).first()
+
+
+def _nodes_at_most(sites: int, parts: int, maps: int, shift: int) -> int:
+    """A run of r positions meets at most (r >> shift) + 2 nodes; a map has one
+    run per partition it spans. Above that, nodes are groups of partitions."""
+    if shift <= 33:
+        return (sites >> shift) + 2 * parts
+    return (parts >> (shift - 33)) + 2 * maps
 
 
 def _bounds_of(df: DataFrame, *keys: Column) -> DataFrame:
@@ -140,14 +139,19 @@ def build_site_index(
     # see the same positions
     stored = materialise(placed, "sites")
 
-    shifts = [page_bits + fanout_bits * step for step in range(0, 1 + (62 - page_bits) // fanout_bits)]
-    counts = _node_counts(stored.withColumn("keep", F.lit(per_location)), shifts)
+    stats = _stats(stored, per_location)
+
+    def in_all(shift: int) -> int:
+        return _nodes_at_most(stats["sites"], stats["parts"], stats["maps"], shift)
+
+    def in_largest_map(shift: int) -> int:
+        return _nodes_at_most(stats["map_sites"], stats["map_parts"], 1, shift)
 
     chosen = [page_bits]
-    for shift in shifts[1:]:
-        if counts[f"m{chosen[-1]}"] <= (1 << fanout_bits):
+    for shift in range(page_bits + fanout_bits, 62, fanout_bits):
+        if in_largest_map(chosen[-1]) <= (1 << fanout_bits):
             break
-        if counts[f"n{shift}"] < counts[f"n{chosen[-1]}"]:
+        if 2 * in_largest_map(shift) <= in_largest_map(chosen[-1]):
             chosen.append(shift)
 
     sites = stored.withColumn("page", F.shiftright("pos", page_bits)).drop("pos")
@@ -173,9 +177,10 @@ def build_site_index(
             level = _bounds_of(level, parent.alias("node"))
     return SiteIndex(
         sites=sites,
-        n_sites=int(counts["cnt"]),
+        n_sites=stats["sites"],
         levels=tuple(levels),
-        level_rows=tuple(int(counts[f"n{s}"]) for s in chosen),
+        level_rows=tuple(in_all(shift) for shift in chosen),
         per_location=per_location,
-        full_locations=int(counts["full"]),
+        full_locations=stats["full"],
+        n_maps=stats["maps"],
     )
