@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS, shuffle_partitions, small_side
 from . import ranking
@@ -33,50 +33,36 @@ TOP_JOIN_SALTS = 16
 _BOX = ("x0", "x1", "y0", "y1")
 
 
-def _gap(lo: Column, hi: Column, n_lo: Column, n_hi: Column) -> Column:
-    return F.greatest(lo - n_hi, n_lo - hi, F.lit(0.0))
+def _norm(dx: str, dy: str) -> str:
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
-def _reach(lo: Column, hi: Column, n_lo: Column, n_hi: Column) -> Column:
-    return F.greatest(n_hi - lo, hi - n_lo)
-
-
-def _norm(dx: Column, dy: Column) -> Column:
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def _slack(radius: Column) -> Column:
-    """Covers the rounding of distances; a wider radius is still exact."""
-    return radius * (1 + 1e-9) + 1e-9
-
-
-def _with_distances(pairs: DataFrame) -> DataFrame:
-    x = [F.col(c) for c in ("x0", "x1", "n_x0", "n_x1")]
-    y = [F.col(c) for c in ("y0", "y1", "n_y0", "n_y1")]
-    return pairs.withColumns(
-        {"dmin": _norm(_gap(*x), _gap(*y)), "dmax": _norm(_reach(*x), _reach(*y))}
-    )
+# least and greatest distance between a place in the group's box and one in
+# the node's box
+_DMIN = _norm("greatest(x0 - n_x1, n_x0 - x1, 0D)", "greatest(y0 - n_y1, n_y0 - y1, 0D)")
+_DMAX = _norm("greatest(n_x1 - x0, x1 - n_x0)", "greatest(n_y1 - y0, y1 - n_y0)")
+_SITE_DMIN = _norm("greatest(x0 - lon, lon - x1, 0D)", "greatest(y0 - lat, lat - y1, 0D)")
 
 
 def _prune(pairs: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
     """Keep the boxes that can hold one of the `need` nearest sites of any
     place in the group, with the `radius` that says so. It is infinite if the
     map has fewer sites than that."""
-    group = Window.partitionBy(*keys)
-    nearest_first = group.orderBy("dmax").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    enough = F.min(F.when(F.col("seen") >= need, F.col("dmax"))).over(group)
+    group = f"PARTITION BY {', '.join(keys)}"
+    enough = f"min(CASE WHEN seen >= {need} THEN dmax END) OVER ({group})"
     return (
-        _with_distances(pairs)
-        .withColumn("seen", F.sum("n_cnt").over(nearest_first))
-        .withColumn("radius", F.coalesce(_slack(enough), F.lit(float("inf"))))
-        .where(F.col("dmin") <= F.col("radius"))
+        pairs.selectExpr("*", f"{_DMIN} AS dmin", f"{_DMAX} AS dmax")
+        .selectExpr("*", f"sum(n_cnt) OVER ({group} ORDER BY dmax ROWS UNBOUNDED PRECEDING) AS seen")
+        # a little wider than exact, to cover the rounding of distances
+        .selectExpr("*", f"coalesce({enough} * (1 + 1e-9D) + 1e-9D, double('infinity')) AS radius")
+        .where("dmin <= radius")
         .drop("seen", "dmin", "dmax")
     )
 
 
-def _as_boxes(level: DataFrame, *extra: Column) -> DataFrame:
-    box = [F.col(c).alias(f"n_{c}") for c in (*_BOX, "cnt")]
-    return level.select("map_id", F.col("node").alias("n_node"), *box, *extra)
+def _as_boxes(level: DataFrame, *extra: str) -> DataFrame:
+    box = [f"{c} AS n_{c}" for c in (*_BOX, "cnt")]
+    return level.selectExpr("map_id", "node AS n_node", *box, *extra)
 
 
 def _join_top(groups: DataFrame, index: SiteIndex, limit: int) -> DataFrame:
@@ -84,11 +70,10 @@ def _join_top(groups: DataFrame, index: SiteIndex, limit: int) -> DataFrame:
     if index.level_rows[-1] <= limit:
         return groups.join(F.broadcast(top), "map_id")
     # a map has few top boxes, but may have most of the groups: spread them
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TOP_JOIN_SALTS - 1)))
-    salted = groups.withColumn(
-        "salt", F.pmod(F.xxhash64(*groups.columns), F.lit(TOP_JOIN_SALTS)).cast("int")
-    )
-    return salted.join(top.withColumn("salt", salts), ["map_id", "salt"]).drop("salt")
+    columns = ", ".join(groups.columns)
+    salted = groups.selectExpr("*", f"pmod(xxhash64({columns}), {TOP_JOIN_SALTS}) AS salt")
+    copies = top.selectExpr("*", f"explode(sequence(0L, {TOP_JOIN_SALTS - 1}L)) AS salt")
+    return salted.join(copies, ["map_id", "salt"]).drop("salt")
 
 
 def candidates(
@@ -113,46 +98,43 @@ def candidates(
     pairs = _join_top(groups, index, broadcast_rows)
     if index.level_rows[-1] > broadcast_rows:
         pairs = pairs.repartition(n, *placed_by)
+    visible = f"count(*) OVER (PARTITION BY {', '.join(keys)}) > {SPLIT_ABOVE} AS crowded"
 
     def refine(df: DataFrame) -> DataFrame:
         df = _prune(df, keys, need)
         if split is None:
             return df
-        visible = F.count("*").over(Window.partitionBy(*keys))
-        parts = split(df.withColumn("crowded", visible > SPLIT_ABOVE).drop("radius"))
-        return _prune(parts, keys, need)
+        return _prune(split(df.drop("radius").selectExpr("*", visible)), keys, need)
 
     pairs = refine(pairs)
     for level, rows in reversed(list(zip(index.levels[:-1], index.level_rows[:-1]))):
-        children = _as_boxes(level, F.col("parent").alias("above"))
-        pairs = pairs.select(*carried, F.col("n_node").alias("above")).join(
+        children = _as_boxes(level, "parent AS above")
+        pairs = pairs.selectExpr(*carried, "n_node AS above").join(
             small_side(children, rows, broadcast_rows), ["map_id", "above"]
         ).drop("above")
         if rows > broadcast_rows:
             pairs = pairs.repartition(n, *placed_by)
         pairs = refine(pairs)
 
-    members = (index.sites if sites is None else sites).select(
-        "map_id", "page", "point_id", "lon", "lat", *[F.col(v).alias(f"v_{v}") for v in values]
+    members = (index.sites if sites is None else sites).selectExpr(
+        "map_id", "page", "point_id", "lon", "lat", *[f"{v} AS v_{v}" for v in values]
     )
-    pairs = pairs.select(*carried, "radius", F.col("n_node").alias("page")).join(
-        small_side(members, index.n_sites, broadcast_rows), ["map_id", "page"]
+    pairs = (
+        pairs.selectExpr(*carried, "radius", "n_node AS page")
+        .join(small_side(members, index.n_sites, broadcast_rows), ["map_id", "page"])
+        .where(f"{_SITE_DMIN} <= radius")
     )
-    x = _gap(F.col("x0"), F.col("x1"), F.col("lon"), F.col("lon"))
-    y = _gap(F.col("y0"), F.col("y1"), F.col("lat"), F.col("lat"))
-    pairs = pairs.where(_norm(x, y) <= F.col("radius"))
     if index.n_sites > broadcast_rows:
         pairs = pairs.repartition(n, *placed_by)
-    rest = [F.first(c).alias(c) for c in carried if c not in keys]
-    site = F.struct("point_id", "lon", "lat", *[F.col(f"v_{v}").alias(v) for v in values])
-    return pairs.groupBy(*keys).agg(*rest, F.collect_list(site).alias("cands"))
+    site = ", ".join(f"'{v}', v_{v}" for v in values)
+    rest = [f"first({c}) AS {c}" for c in carried if c not in keys]
+    found = f"collect_list(named_struct('point_id', point_id, 'lon', lon, 'lat', lat, {site})) AS cands"
+    return pairs.groupBy(*keys).agg(*[F.expr(e) for e in (*rest, found)])
 
 
-def page_lists(sites: DataFrame, values: Sequence[str] = ("value",)) -> DataFrame:
+def page_lists(sites: DataFrame, columns: Sequence[str]) -> DataFrame:
     """map_id, page, places: the sites of each page, at most a page's worth."""
-    return sites.groupBy("map_id", "page").agg(
-        F.collect_list(F.struct("point_id", "lon", "lat", *values)).alias("places")
-    )
+    return sites.groupBy("map_id", "page").agg(F.collect_list(F.struct(*columns)).alias("places"))
 
 
 # --- grid cells ------------------------------------------------------------
@@ -161,46 +143,29 @@ GRID_COLUMNS = ("min_lon", "min_lat", "nx", "ny", "resolution")
 CELL_KEYS = ("map_id", "bi", "bj", "i0", "j0", "side")
 
 
-def _block_box(blocks: DataFrame) -> DataFrame:
-    def edge(origin: str, first: Column) -> Column:
-        return F.col(origin) + first * F.col("resolution")
-
-    last_j = F.least(F.col("j0") + F.col("side"), F.col("nx")) - 1
-    last_i = F.least(F.col("i0") + F.col("side"), F.col("ny")) - 1
-    return blocks.withColumns(
-        {
-            "x0": edge("min_lon", F.col("j0")),
-            "x1": edge("min_lon", last_j),
-            "y0": edge("min_lat", F.col("i0")),
-            "y1": edge("min_lat", last_i),
-        }
-    )
+_BLOCK_BOX = (
+    "min_lon + j0 * resolution AS x0",
+    "min_lon + (least(j0 + side, nx) - 1) * resolution AS x1",
+    "min_lat + i0 * resolution AS y0",
+    "min_lat + (least(i0 + side, ny) - 1) * resolution AS y1",
+)
 
 
 def _split_blocks(pairs: DataFrame) -> DataFrame:
-    side = F.col("side")
-    step = (side / SPLIT).cast("int")
-    steps = F.sequence(F.lit(0), F.lit(SPLIT - 1))
-    quarters = F.flatten(
-        F.transform(
-            steps,
-            lambda a: F.transform(
-                steps,
-                lambda b: F.struct(
-                    (F.col("i0") + a * step).alias("i0"),
-                    (F.col("j0") + b * step).alias("j0"),
-                    step.alias("side"),
-                ),
-            ),
+    step = f"(side div {SPLIT})"
+    corners = f"sequence(0L, {SPLIT * SPLIT - 1}L)"
+    parts = f"explode(CASE WHEN crowded AND side > 1 THEN {corners} ELSE array(-1L) END) AS corner"
+    kept = [c for c in pairs.columns if c not in ("i0", "j0", "side", "crowded", *_BOX)]
+    return (
+        pairs.selectExpr("*", parts)
+        .selectExpr(
+            *kept,
+            f"int(CASE WHEN corner < 0 THEN i0 ELSE i0 + corner div {SPLIT} * {step} END) AS i0",
+            f"int(CASE WHEN corner < 0 THEN j0 ELSE j0 + corner % {SPLIT} * {step} END) AS j0",
+            f"int(CASE WHEN corner < 0 THEN side ELSE {step} END) AS side",
         )
-    )
-    whole = F.array(F.struct(F.col("i0"), F.col("j0"), side.alias("side")))
-    parts = F.explode(F.when(F.col("crowded") & (side > 1), quarters).otherwise(whole))
-    return _block_box(
-        pairs.withColumn("part", parts)
-        .withColumns({c: F.col(f"part.{c}") for c in ("i0", "j0", "side")})
-        .where((F.col("i0") < F.col("ny")) & (F.col("j0") < F.col("nx")))
-        .drop("part", "crowded")
+        .where("i0 < ny AND j0 < nx")
+        .selectExpr("*", *_BLOCK_BOX)
     )
 
 
@@ -211,21 +176,12 @@ def grid_blocks(meta: DataFrame) -> DataFrame:
     blocks would stay in few tasks.
     """
     n = shuffle_partitions(meta.sparkSession)
-
-    def numbers(count: str) -> Column:
-        last = F.floor((F.col(count) - 1) / BLOCK).cast("int")
-        return F.explode(F.sequence(F.lit(0), last))
-
-    blocks = (
-        meta.select("map_id", *GRID_COLUMNS)
-        .withColumn("bi", numbers("ny"))
-        .withColumn("bj", numbers("nx"))
+    return (
+        meta.selectExpr("map_id", *GRID_COLUMNS, f"explode(sequence(0, int((ny - 1) div {BLOCK}))) AS bi")
+        .selectExpr("*", f"explode(sequence(0, int((nx - 1) div {BLOCK}))) AS bj")
         .repartition(n, "map_id", "bi", "bj")
-    )
-    return _block_box(
-        blocks.withColumns(
-            {"i0": F.col("bi") * BLOCK, "j0": F.col("bj") * BLOCK, "side": F.lit(BLOCK)}
-        )
+        .selectExpr("*", f"bi * {BLOCK} AS i0", f"bj * {BLOCK} AS j0", f"{BLOCK} AS side")
+        .selectExpr("*", *_BLOCK_BOX)
     )
 
 
@@ -289,30 +245,25 @@ _WHOLE_PAGE = -1
 
 
 def _page_splitter(index: SiteIndex, broadcast_rows: int) -> Callable[[DataFrame], DataFrame]:
-    places = page_lists(index.sites, ()).withColumnRenamed("page", "of_page")
+    lists = page_lists(index.sites, ("point_id", "lon", "lat"))
+    places = small_side(lists, index.n_sites, broadcast_rows).toDF("of_map", "of_page", "places")
 
     def split(pairs: DataFrame) -> DataFrame:
-        here = small_side(places, index.n_sites, broadcast_rows).withColumnRenamed("map_id", "of_map")
-        matching = (
-            (F.col("map_id") == F.col("of_map"))
-            & (F.col("qpage") == F.col("of_page"))
-            & F.col("crowded")
-            & (F.col("member") == _WHOLE_PAGE)
+        kept = [c for c in pairs.columns if c not in ("member", "crowded", *_BOX)]
+        matching = F.expr(
+            f"map_id = of_map AND qpage = of_page AND crowded AND member = {_WHOLE_PAGE}"
         )
-        place = F.col("place")
         return (
-            pairs.join(here, matching, "left")
-            .withColumn("place", F.explode_outer("places"))
-            .withColumns(
-                {
-                    "member": F.coalesce(place["point_id"], F.col("member")),
-                    "x0": F.coalesce(place["lon"], F.col("x0")),
-                    "x1": F.coalesce(place["lon"], F.col("x1")),
-                    "y0": F.coalesce(place["lat"], F.col("y0")),
-                    "y1": F.coalesce(place["lat"], F.col("y1")),
-                }
+            pairs.join(places, matching, "left")
+            .selectExpr("*", "explode_outer(places) AS place")
+            .selectExpr(
+                *kept,
+                "coalesce(place.point_id, member) AS member",
+                "coalesce(place.lon, x0) AS x0",
+                "coalesce(place.lon, x1) AS x1",
+                "coalesce(place.lat, y0) AS y0",
+                "coalesce(place.lat, y1) AS y1",
             )
-            .drop("of_map", "of_page", "places", "place", "crowded")
         )
 
     return split
@@ -330,12 +281,8 @@ def site_groups(
     # pages were grouped by would be dropped, and its partition count with it
     pages = (
         index.levels[0]
-        .select(
-            "map_id",
-            F.shiftright("node", 1).alias("zone"),
-            F.col("node").alias("qpage"),
-            F.lit(_WHOLE_PAGE).cast("bigint").alias("member"),
-            *_BOX,
+        .selectExpr(
+            "map_id", "shiftright(node, 1) AS zone", "node AS qpage", f"{_WHOLE_PAGE}L AS member", *_BOX
         )
         .repartition(n, "map_id", "zone")
     )
@@ -344,7 +291,7 @@ def site_groups(
     groups = candidates(
         pages, PAGE_KEYS, ("map_id", "zone"), index, need, split, broadcast_rows=broadcast_rows
     ).select("map_id", F.col("qpage").alias("page"), "member", "cands")
-    lists = page_lists(index.sites, ("value", "loc_rank"))
+    lists = page_lists(index.sites, ("point_id", "lon", "lat", "value", "loc_rank"))
     return groups.join(small_side(lists, index.n_sites, broadcast_rows), ["map_id", "page"])
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise, shuffle_partitions
 
@@ -22,7 +22,7 @@ FANOUT_BITS = 5
 # share the outermost cells: they are indexed less finely, never lost.
 _Z_SCALE = float(1 << 16)
 _Z_ORIGIN = 512.0
-_Z_MAX = float((1 << 26) - 1)
+_Z_MAX = (1 << 26) - 1
 _SPREAD_STEPS = (
     (16, 0x0000FFFF0000FFFF),
     (8, 0x00FF00FF00FF00FF),
@@ -36,8 +36,8 @@ _SPREAD_STEPS = (
 class SiteIndex:
     """`sites`: map_id, point_id, lon, lat, value, page, loc_rank.
 
-    `levels`: finest first, each with map_id, node, parent, its bounding box
-    x0, x1, y0, y1 and the number of sites cnt; `level_rows` bound their sizes.
+    `levels`: finest first, each with map_id, node, its bounding box x0, x1, y0,
+    y1, the number of sites cnt and, below the top, its parent; `level_rows` bound their sizes.
     `per_location` is the number of points kept per exact location.
     """
 
@@ -50,18 +50,15 @@ class SiteIndex:
     n_maps: int
 
 
-def _spread_bits(value: Column) -> Column:
+def z_code(points: DataFrame) -> DataFrame:
+    """Adds z, the place along the curve: the bits of the two cell numbers in turn."""
+    number = "bigint(least(greatest(floor(({c} + %r) * %r), 0), %d)) AS {n}" % (_Z_ORIGIN, _Z_SCALE, _Z_MAX)
+    points = points.selectExpr("*", number.format(c="lon", n="zx"), number.format(c="lat", n="zy"))
     for shift, mask in _SPREAD_STEPS:
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
-
-
-def z_code(lon: Column, lat: Column) -> Column:
-    def cell(c: Column) -> Column:
-        scaled = F.floor((c + _Z_ORIGIN) * _Z_SCALE).cast("double")
-        return F.least(F.greatest(scaled, F.lit(0.0)), F.lit(_Z_MAX)).cast("bigint")
-
-    return _spread_bits(cell(lon)).bitwiseOR(F.shiftleft(_spread_bits(cell(lat)), 1))
+        spread = [f"({c} | shiftleft({c}, {shift})) & {mask}L AS {c}" for c in ("zx", "zy")]
+        rest = [c for c in points.columns if c not in ("zx", "zy")]
+        points = points.selectExpr(*rest, *spread)
+    return points.selectExpr("*", "zx | shiftleft(zy, 1) AS z").drop("zx", "zy")
 
 
 def first_per_location(points: DataFrame, keep: int) -> DataFrame:
@@ -78,21 +75,22 @@ def first_per_location(points: DataFrame, keep: int) -> DataFrame:
 def _stats(stored: DataFrame, per_location: int):
     """Sites and full locations in all, and of the largest map the sites and
     the partitions it spans: scalars that bound the levels' sizes."""
-    part = F.shiftright("pos", 33)
-    per_map = stored.groupBy("map_id").agg(
-        F.count("*").alias("cnt"),
-        F.count_if(F.col("loc_rank") == per_location).alias("full"),
-        (F.max(part) - F.min(part) + 1).alias("parts"),
-    )
+    part = "shiftright(pos, 33)"
+    per_map = {
+        "cnt": "count(*)",
+        "full": f"count_if(loc_rank = {per_location})",
+        "parts": f"max({part}) - min({part}) + 1",
+    }
     totals = {
-        "sites": F.sum("cnt"),
-        "full": F.sum("full"),
-        "parts": F.sum("parts"),
-        "maps": F.count("*"),
-        "map_sites": F.max("cnt"),
-        "map_parts": F.max("parts"),
+        "sites": "sum(cnt)",
+        "full": "sum(full)",
+        "parts": "sum(parts)",
+        "maps": "count(*)",
+        "map_sites": "max(cnt)",
+        "map_parts": "max(parts)",
     }
-    return per_map.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in totals.items()]).first()
+    maps = stored.groupBy("map_id").agg(*[F.expr(e).alias(n) for n, e in per_map.items()])
+    return maps.agg(*[F.expr(f"coalesce({e}, 0L)").alias(n) for n, e in totals.items()]).first()
 
 
 def _nodes_at_most(sites: int, parts: int, maps: int, shift: int) -> int:
@@ -103,14 +101,9 @@ def _nodes_at_most(sites: int, parts: int, maps: int, shift: int) -> int:
     return (parts >> (shift - 33)) + 2 * maps
 
 
-def _bounds_of(df: DataFrame, *keys: Column) -> DataFrame:
-    return df.groupBy("map_id", *keys).agg(
-        F.min("x0").alias("x0"),
-        F.max("x1").alias("x1"),
-        F.min("y0").alias("y0"),
-        F.max("y1").alias("y1"),
-        F.sum("cnt").alias("cnt"),
-    )
+def _bounds_of(df: DataFrame, node: str) -> DataFrame:
+    ends = ("min(x0) AS x0", "max(x1) AS x1", "min(y0) AS y0", "max(y1) AS y1", "sum(cnt) AS cnt")
+    return df.groupBy("map_id", F.expr(node).alias("node")).agg(*[F.expr(e) for e in ends])
 
 
 def build_site_index(
@@ -126,9 +119,9 @@ def build_site_index(
     """
     spark = points.sparkSession
     order = ("map_id", "z", "lon", "lat", "point_id")
-    kept = first_per_location(
-        points.select("map_id", "point_id", "lon", "lat", "value"), per_location
-    ).withColumn("z", z_code(F.col("lon"), F.col("lat")))
+    kept = z_code(
+        first_per_location(points.select("map_id", "point_id", "lon", "lat", "value"), per_location)
+    )
     ranged = kept.repartitionByRange(shuffle_partitions(spark), *order)
     placed = (
         ranged.sortWithinPartitions(*order)
@@ -155,26 +148,18 @@ def build_site_index(
             chosen.append(shift)
 
     sites = stored.withColumn("page", F.shiftright("pos", page_bits)).drop("pos")
-    boxes = sites.select(
-        "map_id",
-        "page",
-        F.col("lon").alias("x0"),
-        F.col("lon").alias("x1"),
-        F.col("lat").alias("y0"),
-        F.col("lat").alias("y1"),
-        F.lit(1).cast("bigint").alias("cnt"),
-    )
-    level = _bounds_of(boxes, F.col("page").alias("node"))
+    boxes = sites.selectExpr("map_id", "page", "lon AS x0", "lon AS x1", "lat AS y0", "lat AS y1", "1L AS cnt")
+    level = _bounds_of(boxes, "page")
     if len(chosen) > 1:
         level = materialise(level, "pages")
     levels = []
     for here, above in zip(chosen, chosen[1:] + [None]):
         if above is None:
-            levels.append(level.withColumn("parent", F.lit(0).cast("bigint")))
+            levels.append(level)
         else:
-            parent = F.shiftright("node", above - here)
-            levels.append(level.withColumn("parent", parent))
-            level = _bounds_of(level, parent.alias("node"))
+            parent = f"shiftright(node, {above - here})"
+            levels.append(level.selectExpr("*", f"{parent} AS parent"))
+            level = _bounds_of(level, parent)
     return SiteIndex(
         sites=sites,
         n_sites=stats["sites"],

@@ -5,15 +5,12 @@ from brute import COLUMNS, mean, nearest, random_points
 from pyspark.sql import functions as F
 
 from evidence_surface.operators.grid import grid_cells, grid_meta
-from evidence_surface.operators.idw import idw_surface, knn_smooth
-from evidence_surface.operators.neighbours import cell_neighbours, site_neighbours
+from evidence_surface.operators.idw import idw_surface, knn_smooth, point_neighbours
+from evidence_surface.operators.neighbours import cell_groups, cell_neighbours
 from evidence_surface.operators.sites import build_site_index
 
-SHAPES = [
-    dict(page_bits=5, fanout_bits=5),
-    dict(page_bits=1, fanout_bits=1),
-    dict(page_bits=2, fanout_bits=2),
-]
+# the usual tree, and one deep enough on small data to be walked and split
+SHAPES = [dict(page_bits=5, fanout_bits=5), dict(page_bits=2, fanout_bits=2)]
 
 
 def by_map(rows):
@@ -23,6 +20,13 @@ def by_map(rows):
     return maps
 
 
+def lists(rows, *key):
+    found = collections.defaultdict(list)
+    for r in rows:
+        found[tuple(r[k] for k in key)].append((r.rn, r.neighbour))
+    return {k: [p for _, p in sorted(v)] for k, v in found.items()}
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 @pytest.mark.parametrize("shape", SHAPES)
 @pytest.mark.parametrize("broadcast_rows", [10_000, 0])
@@ -31,12 +35,13 @@ def test_sites_match_brute_force(spark, shape, clustered, broadcast_rows):
     df = spark.createDataFrame(rows, COLUMNS)
     index = build_site_index(df, 9, **shape)
     assert len(index.levels) > 1 or shape["page_bits"] == 5
-    got = site_neighbours(index, 8, broadcast_rows=broadcast_rows).collect()
+    got = point_neighbours(df, index, 8, broadcast_rows=broadcast_rows)
+    found = lists(got.withColumnRenamed("neighbour_id", "neighbour").collect(), "map_id", "point_id")
     maps = by_map(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        want = nearest(maps[r.map_id], r.lon, r.lat, 8, but=r.point_id)
-        assert [n.point_id for n in r.near] == [w[1] for w in want]
+    assert len(found) == len(rows)
+    for r in rows:
+        want = nearest(maps[r[0]], r[2], r[3], 8, but=r[1])
+        assert found[r[0], r[1]] == [w[1] for w in want]
 
 
 @pytest.mark.parametrize("clustered", [False, True])
@@ -47,14 +52,31 @@ def test_cells_match_brute_force(spark, shape, clustered, broadcast_rows):
     df = spark.createDataFrame(rows, COLUMNS)
     index = build_site_index(df, 12, **shape)
     meta = grid_meta(df, 3.7)
-    got = cell_neighbours(meta, index, 12, broadcast_rows=broadcast_rows).collect()
-    cells = {(r.map_id, r.i, r.j): (r.lon, r.lat) for r in grid_cells(meta).collect()}
-    assert len(got) == len(cells)
+    groups = cell_groups(meta, index, 12, broadcast_rows=broadcast_rows)
+    got = cell_neighbours(groups, 12).withColumnRenamed("point_id", "neighbour").collect()
+    found = lists(got, "map_id", "i", "j")
+    cells = grid_cells(meta).collect()
     maps = by_map(rows)
-    for r in got:
-        assert cells[r.map_id, r.i, r.j] == (r.lon, r.lat)
-        want = nearest(maps[r.map_id], r.lon, r.lat, 12)
-        assert [n.point_id for n in r.near] == [w[1] for w in want]
+    assert len(found) == len(cells)
+    for c in cells:
+        want = nearest(maps[c.map_id], c.lon, c.lat, 12)
+        assert found[c.map_id, c.i, c.j] == [w[1] for w in want]
+
+
+def test_dense_points_split_blocks(spark):
+    """Far more points than cells: blocks are split down to single cells."""
+    rows = random_points(5, maps=1, n=3000, clustered=True, copies=0)
+    df = spark.createDataFrame(rows, COLUMNS)
+    index = build_site_index(df, 12, page_bits=3, fanout_bits=3)
+    meta = grid_meta(df, 6.0)
+    groups = cell_groups(meta, index, 12)
+    assert groups.where("side < 16").count() > 0
+    assert groups.selectExpr("max(size(cands)) AS n").first().n < 1000
+    got = cell_neighbours(groups, 12).withColumnRenamed("point_id", "neighbour").collect()
+    found = lists(got, "map_id", "i", "j")
+    for c in grid_cells(meta).collect():
+        want = nearest(rows, c.lon, c.lat, 12)
+        assert found[c.map_id, c.i, c.j] == [w[1] for w in want]
 
 
 def test_crowded_location(spark):
@@ -70,6 +92,11 @@ def test_crowded_location(spark):
         for r in got:
             want = mean(nearest(rows, r.lon, r.lat, 8, but=r.point_id), 4.0)
             assert r.smoothed == pytest.approx(want, abs=1e-9)
+        got = point_neighbours(df, index, 8, broadcast_rows=limit)
+        found = lists(got.withColumnRenamed("neighbour_id", "neighbour").collect(), "point_id")
+        for r in rows:
+            want = nearest(rows, r[2], r[3], 8, but=r[1])
+            assert found[(r[1],)] == [w[1] for w in want]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
@@ -126,6 +153,10 @@ def test_radius_is_strict(spark):
 def test_nearest_ties_take_the_lower_id(spark):
     rows = [(0, 5, 1.0, 0.0, 3.0), (0, 2, -1.0, 0.0, 1.0), (0, 9, 0.0, 1.0, 2.0)]
     df = spark.createDataFrame(rows, COLUMNS)
-    index = build_site_index(df, 12)
-    cells = cell_neighbours(grid_meta(df, 1.0), index, 12).where("lon = 0 and lat = 0").collect()
-    assert [n.point_id for n in cells[0].near] == [2, 5, 9]
+    groups = cell_groups(grid_meta(df, 1.0), build_site_index(df, 12), 12)
+    cells = grid_cells(grid_meta(df, 1.0)).where("lon = 0 and lat = 0").select("i", "j")
+    found = cell_neighbours(groups, 12).join(cells, ["i", "j"]).orderBy("rn").collect()
+    assert [n.point_id for n in found] == [2, 5, 9]
+    # the k-th distance is tied: the value set takes the lower id too
+    one = idw_surface(df, 1.0, 2.0, n_neighbors=1).join(cells, ["i", "j"]).first()
+    assert one.value == 1.0
