@@ -40,9 +40,9 @@ def idw_surface(
     if n_neighbors < 1:
         raise ValueError("n_neighbors must be at least 1")
     index = index or build_site_index(points, n_neighbors)
-    groups = cell_groups(
-        grid_meta(points, resolution), index, n_neighbors, broadcast_rows=broadcast_rows
-    )
+    # every location is among the sites, so they give the same extent
+    meta = grid_meta(index.sites, resolution)
+    groups = cell_groups(meta, index, n_neighbors, broadcast_rows=broadcast_rows)
     radius = point_radius if preserve_points else None
     return cell_values(groups, n_neighbors, power, radius, ZERO_DISTANCE)
 

@@ -58,7 +58,8 @@ def map_cells(
         if crowd is not None:
             columns = ["map_id", "lon", "lat", "value", "smoothed"]
             placed = sites.select(*columns).unionByName(crowd.select(*columns))
-    meta = small_side(grid_meta(points, resolution), index.n_maps, broadcast_rows)
+    # every location is among the sites, so they give the same extent
+    meta = small_side(grid_meta(index.sites, resolution), index.n_maps, broadcast_rows)
     groups = cell_groups(meta, index, n_neighbors, values, sites, broadcast_rows)
     pixels = point_pixels(placed, meta, values, mirror_rows)
     nothing = F.array().cast(f"array<struct<i:int,j:int,{','.join(f'{v}:double' for v in values)}>>")
