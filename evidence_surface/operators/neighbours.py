@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(ranking)
 
 BLOCK = 16  # cells per side of a block; a power of SPLIT
 SPLIT = 4  # a block splits into SPLIT x SPLIT
-SPLIT_ABOVE = 32  # boxes of a level a group may see before it is split
+SPLIT_ABOVE = 64  # boxes of a level a group may see before it is split
 TOP_JOIN_SALTS = 16
 
 _BOX = ("x0", "x1", "y0", "y1")
@@ -109,9 +109,13 @@ def candidates(
     pairs = refine(pairs)
     for level, rows in reversed(list(zip(index.levels[:-1], index.level_rows[:-1]))):
         children = _as_boxes(level, "parent AS above")
-        pairs = pairs.selectExpr(*carried, "n_node AS above").join(
-            small_side(children, rows, broadcast_rows), ["map_id", "above"]
-        ).drop("above")
+        # the radius of the level above holds for its parts too
+        pairs = (
+            pairs.selectExpr(*carried, "radius", "n_node AS above")
+            .join(small_side(children, rows, broadcast_rows), ["map_id", "above"])
+            .where(f"{_DMIN} <= radius")
+            .drop("above", "radius")
+        )
         if rows > broadcast_rows:
             pairs = pairs.repartition(n, *placed_by)
         pairs = refine(pairs)
