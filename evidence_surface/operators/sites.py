@@ -2,7 +2,7 @@
 the pages' bounding boxes, rolled up into levels.
 
 Pages hold at most `2**page_bits` points whatever the density, because they
-are cut from the points' sort order along a Z-order curve, not from fixed
+are cut from the points' sort order along a Hilbert curve, not from fixed
 areas. So a map, or a spot on it, that holds most of the data gives more
 pages, not fuller ones.
 """
@@ -18,18 +18,11 @@ from ..session import materialise, shuffle_partitions
 PAGE_BITS = 5
 FANOUT_BITS = 5
 
-# Z-order cell size (1/65536 degree) and origin. Coordinates beyond the range
-# share the outermost cells: they are indexed less finely, never lost.
-_Z_SCALE = float(1 << 16)
-_Z_ORIGIN = 512.0
-_Z_MAX = (1 << 26) - 1
-_SPREAD_STEPS = (
-    (16, 0x0000FFFF0000FFFF),
-    (8, 0x00FF00FF00FF00FF),
-    (4, 0x0F0F0F0F0F0F0F0F),
-    (2, 0x3333333333333333),
-    (1, 0x5555555555555555),
-)
+# The curve's cell size (1/65536 degree) and origin. Coordinates beyond the
+# range share the outermost cells: they are indexed less finely, never lost.
+CURVE_BITS = 26
+CURVE_SCALE = float(1 << 16)
+CURVE_ORIGIN = 512.0
 
 
 @dataclass(frozen=True)
@@ -50,15 +43,27 @@ class SiteIndex:
     n_maps: int
 
 
-def z_code(points: DataFrame) -> DataFrame:
-    """Adds z, the place along the curve: the bits of the two cell numbers in turn."""
-    number = "bigint(least(greatest(floor(({c} + %r) * %r), 0), %d)) AS {n}" % (_Z_ORIGIN, _Z_SCALE, _Z_MAX)
-    points = points.selectExpr("*", number.format(c="lon", n="zx"), number.format(c="lat", n="zy"))
-    for shift, mask in _SPREAD_STEPS:
-        spread = [f"({c} | shiftleft({c}, {shift})) & {mask}L AS {c}" for c in ("zx", "zy")]
-        rest = [c for c in points.columns if c not in ("zx", "zy")]
-        points = points.selectExpr(*rest, *spread)
-    return points.selectExpr("*", "zx | shiftleft(zy, 1) AS z").drop("zx", "zy")
+def with_curve(points: DataFrame) -> DataFrame:
+    """Adds z, the place along the Hilbert curve, two bits per step from the
+    quadrant the point is in; the quadrant is turned for the next step. Points
+    that follow each other lie together, so runs of them have small boxes."""
+    last = (1 << CURVE_BITS) - 1
+
+    def cell(c: str) -> str:
+        return f"bigint(least(greatest(floor(({c} + {CURVE_ORIGIN}D) * {CURVE_SCALE}D), 0), {last}))"
+
+    right, upper = "(shiftright(a.x, b) & 1)", "(shiftright(a.y, b) & 1)"
+
+    def turned(own: str, other: str) -> str:
+        return f"CASE WHEN {upper} = 1 THEN {own} WHEN {right} = 1 THEN {last}L - {other} ELSE {other} END"
+
+    step = (
+        f"named_struct('x', {turned('a.x', 'a.y')}, 'y', {turned('a.y', 'a.x')}, "
+        f"'d', shiftleft(a.d, 2) | ((3 * {right}) ^ {upper}))"
+    )
+    start = f"named_struct('x', {cell('lon')}, 'y', {cell('lat')}, 'd', 0L)"
+    bits = f"sequence({CURVE_BITS - 1}, 0, -1)"
+    return points.selectExpr("*", f"aggregate({bits}, {start}, (a, b) -> {step}, a -> a.d) AS z")
 
 
 def first_per_location(points: DataFrame, keep: int) -> DataFrame:
@@ -119,9 +124,10 @@ def build_site_index(
     """
     spark = points.sparkSession
     order = ("map_id", "z", "lon", "lat", "point_id")
-    kept = z_code(
-        first_per_location(points.select("map_id", "point_id", "lon", "lat", "value"), per_location)
-    )
+    # z goes through the first shuffle: the range partitioning reads its input
+    # twice, once to sample it
+    placed_on = with_curve(points.select("map_id", "point_id", "lon", "lat", "value"))
+    kept = first_per_location(placed_on, per_location)
     ranged = kept.repartitionByRange(shuffle_partitions(spark), *order)
     placed = (
         ranged.sortWithinPartitions(*order)

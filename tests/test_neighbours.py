@@ -4,6 +4,7 @@ import pytest
 from brute import COLUMNS, mean, nearest, random_points
 from pyspark.sql import functions as F
 
+from evidence_surface.operators import neighbours
 from evidence_surface.operators.grid import grid_cells, grid_meta
 from evidence_surface.operators.idw import idw_surface, knn_smooth, point_neighbours
 from evidence_surface.operators.neighbours import cell_groups, cell_neighbours
@@ -63,20 +64,29 @@ def test_cells_match_brute_force(spark, shape, clustered, broadcast_rows):
         assert found[c.map_id, c.i, c.j] == [w[1] for w in want]
 
 
-def test_dense_points_split_blocks(spark):
-    """Far more points than cells: blocks are split down to single cells."""
+def test_dense_points_split_groups(spark, monkeypatch):
+    """Far more points than cells: blocks are split down to single cells, and
+    pages that see too many boxes into single points."""
+    monkeypatch.setattr(neighbours, "SPLIT_ABOVE", 16)
     rows = random_points(5, maps=1, n=3000, clustered=True, copies=0)
     df = spark.createDataFrame(rows, COLUMNS)
     index = build_site_index(df, 12, page_bits=3, fanout_bits=3)
     meta = grid_meta(df, 6.0)
     groups = cell_groups(meta, index, 12)
-    assert groups.where("side < 16").count() > 0
+    assert groups.where("side = 1").count() > 0
     assert groups.selectExpr("max(size(cands)) AS n").first().n < 1000
     got = cell_neighbours(groups, 12).withColumnRenamed("point_id", "neighbour").collect()
     found = lists(got, "map_id", "i", "j")
     for c in grid_cells(meta).collect():
         want = nearest(rows, c.lon, c.lat, 12)
         assert found[c.map_id, c.i, c.j] == [w[1] for w in want]
+    assert neighbours.site_groups(index, 8).where("member >= 0").count() > 0
+    near = point_neighbours(df, index, 8).withColumnRenamed("neighbour_id", "neighbour").collect()
+    found = lists(near, "map_id", "point_id")
+    assert len(found) == len(rows)
+    for r in rows[::7]:
+        want = nearest(rows, r[2], r[3], 8, but=r[1])
+        assert found[r[0], r[1]] == [w[1] for w in want]
 
 
 def test_crowded_location(spark):
