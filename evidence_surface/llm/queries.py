@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_surface.llm.common import table
+from evidence_surface.llm.decontamination import decontaminate
 from evidence_surface.llm.exact_dedup import exact_dedup
+from evidence_surface.llm.line_dedup import line_dedup
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_spans"),
+        "n_removed",
+        F.to_json("spans").alias("spans"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_decontamination": op10_decontamination,
+}
