@@ -8,6 +8,8 @@ from evidence_surface.llm.common import table
 from evidence_surface.llm.decontamination import decontaminate
 from evidence_surface.llm.exact_dedup import exact_dedup
 from evidence_surface.llm.line_dedup import line_dedup
+from evidence_surface.llm.packing import pack
+from evidence_surface.llm.quality import quality_filter
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +22,32 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
     "op10_decontamination": op10_decontamination,
 }
