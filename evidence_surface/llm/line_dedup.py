@@ -15,7 +15,6 @@ are one document, so what is first in it stays in each of them. Other columns do
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +90,8 @@ def repeated_units(
     )
     rank = F.struct("doc_id", "text_key", "start")
     firsts = units.groupBy("low", "high").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    firsts = firsts.where(F.col("first") != F.col("last")).drop("last")
+    # written, so that the join deals both sides anew and a hot digest's rows can be split
+    firsts = materialise(firsts.where(F.col("first") != F.col("last")).drop("last"), "firsts")
     again = units.join(firsts, ["low", "high"]).where(rank > F.col("first"))
     spans = F.array_sort(F.collect_set(F.struct("start", "stop")))  # repeated rows give a span twice
     return again.groupBy("doc_id", "text_key").agg(spans.alias("spans"))
