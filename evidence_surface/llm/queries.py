@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidence_surface.llm.common import table
 from evidence_surface.llm.decontamination import decontaminate
 from evidence_surface.llm.exact_dedup import exact_dedup
+from evidence_surface.llm.jaccard_join import jaccard_classes
 from evidence_surface.llm.line_dedup import line_dedup
 from evidence_surface.llm.packing import pack
 from evidence_surface.llm.quality import quality_filter
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -45,6 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
