@@ -1,6 +1,22 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
 ORACLES = {
+    "op5_warc": """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (
+  SELECT h, max(page_id) AS first FROM t GROUP BY h
+), b AS (  -- ten hexadecimal digits are eight of base 32
+  SELECT h, list_transform(range(4), i -> CAST('0x' || substr(h, 1 + 10 * i, 10) AS BIGINT)) AS v FROM g
+), d AS (
+  SELECT h, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((v[1 + i // 8] >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest FROM b
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM t JOIN g USING (h) JOIN d USING (h)
+""",
     "op7_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -11,6 +11,16 @@ from evidence_surface.llm.jaccard_join import jaccard_classes
 from evidence_surface.llm.line_dedup import line_dedup
 from evidence_surface.llm.packing import pack
 from evidence_surface.llm.quality import quality_filter
+from evidence_surface.llm.url_filters import filter_urls
+from evidence_surface.llm.warc import read_warc, write_warc
+from evidence_surface.session import scratch_path
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+PAGE_URN = "urn:x-page:"
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +47,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"),
+        F.concat(F.lit(PAGE_URN), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
+        "url",
+        F.col("html").cast("binary").alias("payload"),
+    )
+    files = write_warc(pages, scratch_path(spark, "warc"))
+    page = lambda c: F.substring(c, len(PAGE_URN) + 1, 20).try_cast("long")
+    return read_warc(files, with_payload=False).select(
+        page(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,9 +78,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op10_decontamination": op10_decontamination,
