@@ -30,7 +30,7 @@ from evidence_surface.llm.words import slices
 WINDOW = 2048
 PIECE = 512
 PIECES_PER_GROUP = 512
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
 
 
 def differencing(lengths: np.ndarray, m: int) -> tuple[np.ndarray, int]:

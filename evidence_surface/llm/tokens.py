@@ -3,7 +3,7 @@
 The tokenizer lower-cases a text, splits it into runs of letters, single digits and runs of
 other signs, and merges within each. Most words come again and again, so words are found and
 hashed with numpy, and the library encodes each distinct word of a worker once. Texts outside
-that plain path (apostrophes, special tokens' signs, composed or very high characters, letters
+that plain path (apostrophes, special tokens' first sign, composed or very high characters, letters
 whose lower case is longer) go to the library as they are; the ids are the same.
 """
 
@@ -17,17 +17,11 @@ import numpy as np
 from evidence_surface.llm.words import ragged, run_hashes
 
 MOST_WORDS = 500_000  # distinct words a worker remembers
+RUN = 2000  # words encoded as one text
 WORD_END = "</w>"
 _HIGH = 0x10000
 
 
-def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-    if at + len(values) > len(array):
-        array = np.concatenate([array, np.zeros(len(array) + len(values), array.dtype)])
-    array[at : at + len(values)] = values
-    return array
-
-
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each character below _HIGH: its class (0 space, 1 letter, 2 digit, 3 other, 4 not on
@@ -38,7 +32,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         group, small = unicodedata.category(c), c.lower()
         if c.isspace() or code in (0x85,):
             kind[code] = 0
-        if len(small) > 1 or group in ("Cs", "Cc", "Mn", "Mc", "Me", "Cn", "Co", "Cf") or c in "'<|Σ":
+        if len(small) > 1 or group in ("Cs", "Cc", "Mn", "Mc", "Me", "Cn", "Co", "Cf") or c in "'<Σ":
             kind[code] = 4 if code not in (9, 10, 11, 12, 13) else 0
         elif group[0] == "L":
             kind[code] = 1
@@ -63,24 +57,47 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], found: list[str]) -> None:
-        """Encodes words in runs; the last id of a word is one that ends words."""
-        runs = [" ".join(found[i : i + 2000]) for i in range(0, len(found), 2000)]
-        encoded = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        """Hashes of the known words in order, and where the ids of each begin and end."""
+        self.keys, self.begins, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words, given as runs of `codes`, in texts of many words; the last id of a word
+        is one that ends words. Where the ids of each word begin and end."""
+        texts = []
+        for i in range(0, len(starts), RUN):
+            many = sizes[i : i + RUN]
+            text = np.full(many.sum() + len(many), 32, np.uint32)
+            step = ragged(many)
+            text[np.repeat(np.cumsum(many + 1) - many - 1, many) + step] = codes[np.repeat(starts[i : i + RUN], many) + step]
+            texts.append(text.tobytes().decode("utf-32-le"))
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         own = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
         ends = self.used + np.flatnonzero(self.last[own]) + 1
-        if len(ends) != len(found):
+        if len(ends) != len(starts):
             raise ValueError("the vocabulary does not end every word with an id of its own")
-        n = len(self.known)
-        self.ids = _put(self.ids, self.used, own)
-        self.ends = _put(self.ends, n + 1, ends)
+        begins = np.concatenate([[self.used], ends[:-1]]) if len(ends) else ends
+        if self.used + len(own) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(own), np.uint32)])
+        self.ids[self.used : self.used + len(own)] = own
         self.used += len(own)
-        self.known.update(zip(hashes, range(n, n + len(found))))
+        return begins, ends
+
+    def _places(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Position among the known words of each of the words, distinct and in order of hash."""
+        if len(self.keys) > MOST_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, hashes)
+        known = np.append(self.keys, np.uint64(0))[at] == hashes
+        known &= at < len(self.keys)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            begins, ends = self._learn(codes, starts[fresh], sizes[fresh])
+            self.keys = np.insert(self.keys, at[fresh], hashes[fresh])
+            self.begins = np.insert(self.begins, at[fresh], begins)
+            self.ends = np.insert(self.ends, at[fresh], ends)
+            at = np.searchsorted(self.keys, hashes)
+        return at
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         kind, lower = _tables()
@@ -106,15 +123,8 @@ class Encoder:
         doc = np.searchsorted(ends, starts, "right")
         hashes = run_hashes(small[inside], sizes)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MOST_WORDS:
-            self._forget()
-        keys = distinct.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.known]
-        spelled = [small[starts[j] : starts[j] + sizes[j]].tobytes().decode("utf-32-le") for j in first[missing].tolist()]
-        if missing:
-            self._learn([keys[i] for i in missing], spelled)
-        place = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))
-        begin, stop = self.ends[place][which], self.ends[place + 1][which]
+        place = self._places(distinct, small, starts[first], sizes[first])
+        begin, stop = self.begins[place][which], self.ends[place][which]
         many = stop - begin
         ids = self.ids[np.repeat(begin, many) + ragged(many)] if len(many) else np.zeros(0, np.uint32)
         counts = np.bincount(doc, weights=many, minlength=len(texts)).astype(np.int64)
@@ -128,7 +138,7 @@ class Encoder:
         for i in odd:
             parts.append(ids[at : edges[i]])
             at = edges[i]
-            own = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            own = np.array(self.tokenizer.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, np.uint32)
             parts.append(own)
             counts[i] = len(own)
         parts.append(ids[at:])
