@@ -7,9 +7,9 @@ WITH t AS (
 ), g AS (
   SELECT h, max(page_id) AS first FROM t GROUP BY h
 ), b AS (  -- ten hexadecimal digits are eight of base 32
-  SELECT h, list_transform(range(4), i -> CAST('0x' || substr(h, 1 + 10 * i, 10) AS BIGINT)) AS v FROM g
+  SELECT h, list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 10 * i, 10) AS BIGINT)) AS v FROM g
 ), d AS (
-  SELECT h, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(1 + ((v[1 + i // 8] >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest FROM b
 )
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,

@@ -8,6 +8,7 @@ from evidence_surface.llm.common import table
 from evidence_surface.llm.decontamination import decontaminate
 from evidence_surface.llm.exact_dedup import exact_dedup
 from evidence_surface.llm.jaccard_join import jaccard_classes
+from evidence_surface.llm.language import predict_language
 from evidence_surface.llm.line_dedup import line_dedup
 from evidence_surface.llm.packing import pack
 from evidence_surface.llm.quality import quality_filter
@@ -65,6 +66,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op10_decontamination": op10_decontamination,
