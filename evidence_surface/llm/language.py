@@ -138,7 +138,7 @@ def _codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     """(steps, windows) of bytes, 256 beyond a text's end."""
     at = starts[None, :] + np.arange(WINDOW)[:, None]
     inside = at < stops[None, :]
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 256).astype(np.int64)
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int64), 256)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
