@@ -12,6 +12,7 @@ from evidence_surface.llm.language import predict_language
 from evidence_surface.llm.line_dedup import line_dedup
 from evidence_surface.llm.packing import pack
 from evidence_surface.llm.quality import quality_filter
+from evidence_surface.llm.suffix_dedup import suffix_dedup
 from evidence_surface.llm.url_filters import filter_urls
 from evidence_surface.llm.warc import read_warc, write_warc
 from evidence_surface.session import scratch_path
@@ -78,6 +79,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,5 +103,6 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
 }
