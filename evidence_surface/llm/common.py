@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,18 +35,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         return session.materialise(df, name)
 
 
-def is_small(rows: int) -> bool:
-    """Whether a side with so many narrow rows may be broadcast."""
-    return rows <= session.BROADCAST_ROWS
-
-
 def bounded_side(df: DataFrame, rows: int) -> DataFrame:
     return session.small_side(df, rows)
 
 
-def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Enough partitions for the rows, and no fewer than the session's."""
-    return max(session.shuffle_partitions(spark), -(-rows // per_partition))
+def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """`docs` without the rows whose keys (null equals null) are in `gone`, written beforehand.
+
+    Texts are shuffled only if `gone` has more rows than a broadcast side may.
+    """
+    gone = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    return docs.join(bounded_side(gone, gone.count()), reduce(Column.__and__, same), "left_anti")
 
 
 def normalised_space(text: Column) -> Column:

@@ -182,13 +182,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, contaminated, item_ids, windows, kept."""
+    """One row per row of `docs`: doc_id, text_key, contaminated, item_ids, windows, kept."""
     keyed = _keyed(docs, id_col, text_col).select("doc_id", "text_key")
     hits = materialise(overlapping(docs, benchmark, id_col, text_col), "overlaps")
     hits = hits.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
     return keyed.join(hits, same, "left").select(
         "doc_id",
+        "text_key",
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast(dict(hits.dtypes)["item_ids"])).alias("item_ids"),
         F.coalesce("windows", F.array().cast("array<long>")).alias("windows"),

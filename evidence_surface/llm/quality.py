@@ -118,8 +118,8 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratios) -> Iterator[pa.RecordBatch
             total = np.bincount(doc, weights=ratios.value[grams], minlength=batch.num_rows)
             weight = REFERENCE_GRAMS * total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("noise"), pa.array(weight, mask=n == 0)],
-                names=["doc_id", "noise", "log_weight"],
+                [batch.column("doc_id"), batch.column("text_key"), batch.column("noise"), pa.array(weight, mask=n == 0)],
+                names=["doc_id", "text_key", "noise", "log_weight"],
             )
 
 
@@ -162,12 +162,14 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def quality_filter(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, log_weight, kept. `labels`: doc_id, quality (0 or 1)."""
+    """One row per row of `docs`: doc_id, text_key, log_weight, kept. `labels`: doc_id, quality (0 or 1)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     # a draw from (0, 1) that a recomputed task repeats
     draw = (F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (-F.log(-F.log(draw))).alias("noise"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), (-F.log(-F.log(draw))).alias("noise")
+    )
     # an id with contrary labels counts as good
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     order = F.xxhash64("doc_id", F.lit(seed))
@@ -176,7 +178,7 @@ def quality_filter(
     ratios = spark.sparkContext.broadcast(log_ratios(rows.select("doc_id", "text"), sample.where("good").select("doc_id")))
     kind = dict(rows.dtypes)["doc_id"]
     weighed = materialise(
-        rows.mapInArrow(lambda b: _weigh(b, ratios), f"doc_id {kind}, noise double, log_weight double"), "weights"
+        rows.mapInArrow(lambda b: _weigh(b, ratios), f"doc_id {kind}, text_key long, noise double, log_weight double"), "weights"
     )
     seen = weighed.where("log_weight IS NOT NULL")
     known = seen.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight")).toPandas()
@@ -185,4 +187,6 @@ def quality_filter(
     k = seen.where(F.col("log_weight") >= cut).count() if cut is not None else 0
     threshold = kth_largest(keyed, k) if k else None
     in_sample = F.lit(cut is None) if threshold is None else F.col("log_weight") + F.col("noise") >= threshold
-    return weighed.select("doc_id", "log_weight", F.coalesce(F.col("log_weight").isNotNull() & in_sample, F.lit(False)).alias("kept"))
+    return weighed.select(
+        "doc_id", "text_key", "log_weight", F.coalesce(F.col("log_weight").isNotNull() & in_sample, F.lit(False)).alias("kept")
+    )
