@@ -28,6 +28,16 @@ def climate_colour(code: Column) -> Column:
     return _lookup(code, CLASS_COLOUR, OTHER_COLOUR)
 
 
+def climate_code(code: Column) -> Column:
+    """Position of the class in CLASS_COLOUR, or one beyond: a number that an
+    aggregate keeps in place."""
+    return _lookup(code, {key: n for n, key in enumerate(CLASS_COLOUR)}, len(CLASS_COLOUR))
+
+
+def code_colour(number: Column) -> Column:
+    return _lookup(number, dict(enumerate(CLASS_COLOUR.values())), OTHER_COLOUR)
+
+
 def or_default(text: Column, default: str = MISSING) -> Column:
     """Default for null and empty text."""
     return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(text)

@@ -10,7 +10,6 @@ from .neighbours import cell_groups, cell_values, site_groups, site_neighbours,
 from .sites import SiteIndex, build_site_index
 
 POWER = 2.0
-MAX_POWER = 30.0
 NEIGHBOURS = 12
 SMOOTHING_K = 8
 POINT_RADIUS = 0.15
@@ -18,13 +17,6 @@ ZERO_DISTANCE = 1e-10
 HOT_SALTS = 32
 
 
-def check_power(power: float) -> float:
-    """Weights of co-located points leave the range of doubles beyond this."""
-    if power > MAX_POWER:
-        raise ValueError(f"power must be at most {MAX_POWER}")
-    return float(power)
-
-
 def idw_surface(
     points: DataFrame,
     resolution: float = RESOLUTION,
@@ -36,7 +28,6 @@ def idw_surface(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Surface of every map: map_id, i, j, lon, lat, value."""
-    power = check_power(power)
     if n_neighbors < 1:
         raise ValueError("n_neighbors must be at least 1")
     index = index or build_site_index(points, n_neighbors)
@@ -80,7 +71,6 @@ def smooth_sites(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The index's sites with `smoothed`; alone on its map a site keeps its value."""
-    power = check_power(power)
     if k <= 0:
         return index.sites.withColumn("smoothed", F.col("value"))
     groups = site_groups(index, k, exclude_self, broadcast_rows)

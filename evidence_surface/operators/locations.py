@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.climate import age_or_default, climate_colour, or_default
+from ..functions.climate import age_or_default, climate_code, climate_colour, code_colour, or_default
 
 ID_RANGE = 1 << 16  # point ids per part of a location when its points are numbered
 
@@ -34,11 +34,11 @@ def location_groups(points: DataFrame) -> DataFrame:
     pairs = named.groupBy(*_AT, "basin", "formation").agg(
         F.count("*").alias("n"),
         F.min("point_id").alias("first_id"),
-        F.min_by(F.struct("climate"), "point_id").alias("first"),
+        F.min_by(climate_code(F.col("climate")), "point_id").alias("first"),
     )
     places = pairs.groupBy(*_AT).agg(
         F.sum("n").alias("n_points"),
-        F.min_by("first", "first_id")["climate"].alias("climate"),
+        F.min_by("first", "first_id").alias("code"),
         F.collect_list(F.struct("first_id", "basin", "formation")).alias("seen"),
     )
     several = F.concat(
@@ -48,13 +48,13 @@ def location_groups(points: DataFrame) -> DataFrame:
     return (
         places.withColumns(
             {
-                "colour": climate_colour(F.col("climate")),
+                "colour": code_colour(F.col("code")),
                 "basins": _distinct_in_order("basin"),
                 "formations": _distinct_in_order("formation"),
             }
         )
         .withColumn("tooltip", F.when(F.col("n_points") == 1, single).otherwise(several))
-        .drop("seen", "climate")
+        .drop("seen", "code")
     )
 
 

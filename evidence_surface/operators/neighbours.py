@@ -27,8 +27,9 @@ cloudpickle.register_pickle_by_value(ranking)
 
 BLOCK = 16  # cells per side of a block; a power of SPLIT
 SPLIT = 4  # a block splits into SPLIT x SPLIT
+BLOCK_SPLITS = 2  # after so many splits a block is one cell
 SPLIT_ABOVE = 64  # boxes of a level a group may see before it is split
-TOP_JOIN_SALTS = 16
+JOIN_SALTS = 16
 
 _BOX = ("x0", "x1", "y0", "y1")
 
@@ -70,10 +71,23 @@ def _join_top(groups: DataFrame, index: SiteIndex, limit: int) -> DataFrame:
     if index.level_rows[-1] <= limit:
         return groups.join(F.broadcast(top), "map_id")
     # a map has few top boxes, but may have most of the groups: spread them
-    columns = ", ".join(groups.columns)
-    salted = groups.selectExpr("*", f"pmod(xxhash64({columns}), {TOP_JOIN_SALTS}) AS salt")
-    copies = top.selectExpr("*", f"explode(sequence(0L, {TOP_JOIN_SALTS - 1}L)) AS salt")
-    return salted.join(copies, ["map_id", "salt"]).drop("salt")
+    return _salted_join(groups, top, ["map_id"], groups.columns)
+
+
+def _salted_join(groups: DataFrame, boxes: DataFrame, on: list[str], by: Sequence[str]) -> DataFrame:
+    """Join of groups with boxes; a box that many groups see is copied, and the
+    groups are dealt to its copies by a hash of their columns `by`."""
+    salted = groups.selectExpr("*", f"pmod(xxhash64({', '.join(by)}), {JOIN_SALTS}) AS salt")
+    copies = boxes.selectExpr("*", f"explode(sequence(0L, {JOIN_SALTS - 1}L)) AS salt")
+    return salted.join(copies, [*on, "salt"]).drop("salt")
+
+
+def _join_boxes(
+    groups: DataFrame, boxes: DataFrame, on: list[str], by: Sequence[str], rows: int, limit: int
+) -> DataFrame:
+    if rows <= limit:
+        return groups.join(F.broadcast(boxes), on)
+    return _salted_join(groups, boxes, on, by)
 
 
 def candidates(
@@ -86,12 +100,14 @@ def candidates(
     values: Sequence[str] = ("value",),
     sites: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    splits: int = 1,
 ) -> DataFrame:
     """One row per group with `cands`, its candidate sites.
 
     `groups` has map_id, `keys`, the box x0, x1, y0, y1 and whatever else is
     to be carried; it is partitioned by `placed_by`, a subset of the keys.
-    `split` turns rows whose `crowded` is true into rows of smaller groups.
+    `split` turns rows whose `crowded` is true into rows of smaller groups; after
+    `splits` times a group is a single place.
     """
     n = shuffle_partitions(groups.sparkSession)
     carried = groups.columns
@@ -100,32 +116,35 @@ def candidates(
         pairs = pairs.repartition(n, *placed_by)
     visible = f"count(*) OVER (PARTITION BY {', '.join(keys)}) > {SPLIT_ABOVE} AS crowded"
 
-    def refine(df: DataFrame) -> DataFrame:
+    def refine(df: DataFrame, last: bool) -> DataFrame:
         df = _prune(df, keys, need)
         if split is None:
             return df
-        return _prune(split(df.drop("radius").selectExpr("*", visible)), keys, need)
+        # over the pages, until a group is not crowded or cannot be split
+        for _ in range(splits if last else 1):
+            df = _prune(split(df.drop("radius").selectExpr("*", visible)), keys, need)
+        return df
 
-    pairs = refine(pairs)
-    for level, rows in reversed(list(zip(index.levels[:-1], index.level_rows[:-1]))):
+    pairs = refine(pairs, len(index.levels) == 1)
+    for at, (level, rows) in reversed(list(enumerate(zip(index.levels[:-1], index.level_rows[:-1])))):
         children = _as_boxes(level, "parent AS above")
         # the radius of the level above holds for its parts too
         pairs = (
             pairs.selectExpr(*carried, "radius", "n_node AS above")
-            .join(small_side(children, rows, broadcast_rows), ["map_id", "above"])
+            .transform(_join_boxes, children, ["map_id", "above"], keys, rows, broadcast_rows)
             .where(f"{_DMIN} <= radius")
             .drop("above", "radius")
         )
         if rows > broadcast_rows:
             pairs = pairs.repartition(n, *placed_by)
-        pairs = refine(pairs)
+        pairs = refine(pairs, at == 0)
 
     members = (index.sites if sites is None else sites).selectExpr(
         "map_id", "page", "point_id", "lon", "lat", *[f"{v} AS v_{v}" for v in values]
     )
     pairs = (
         pairs.selectExpr(*carried, "radius", "n_node AS page")
-        .join(small_side(members, index.n_sites, broadcast_rows), ["map_id", "page"])
+        .transform(_join_boxes, members, ["map_id", "page"], keys, index.n_sites, broadcast_rows)
         .where(f"{_SITE_DMIN} <= radius")
     )
     if index.n_sites > broadcast_rows:
@@ -176,12 +195,13 @@ def _split_blocks(pairs: DataFrame) -> DataFrame:
 def grid_blocks(meta: DataFrame) -> DataFrame:
     """Blocks of BLOCK x BLOCK cells, spread over all tasks.
 
-    The grids come from few rows, so without the explicit partition count the
-    blocks would stay in few tasks.
+    The grids come from few rows: the rows of blocks are dealt out before their
+    columns come into being, so no task makes all blocks of a map.
     """
     n = shuffle_partitions(meta.sparkSession)
     return (
         meta.selectExpr("map_id", *GRID_COLUMNS, f"explode(sequence(0, int((ny - 1) div {BLOCK}))) AS bi")
+        .repartition(n, "map_id", "bi")
         .selectExpr("*", f"explode(sequence(0, int((nx - 1) div {BLOCK}))) AS bj")
         .repartition(n, "map_id", "bi", "bj")
         .selectExpr("*", f"bi * {BLOCK} AS i0", f"bj * {BLOCK} AS j0", f"{BLOCK} AS side")
@@ -198,6 +218,8 @@ def cell_groups(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Groups of grid cells with their candidate sites."""
+    if index.per_location < k:
+        raise ValueError(f"the index keeps {index.per_location} points per location, {k} are needed")
     return candidates(
         grid_blocks(meta),
         CELL_KEYS,
@@ -208,6 +230,7 @@ def cell_groups(
         values=values,
         sites=sites,
         broadcast_rows=broadcast_rows,
+        splits=BLOCK_SPLITS,
     )
 
 

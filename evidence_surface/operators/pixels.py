@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import counted_side
 from .neighbours import BLOCK
 
 REACH = 1  # pixels around a point's own that it overrides too
@@ -28,7 +29,7 @@ def pixel_address(points: DataFrame, meta: DataFrame, mirror_rows: bool = False)
         F.col("min_lat"), F.col("max_lat")
     )
     return (
-        points.join(raster, "map_id")
+        points.join(counted_side(raster, "raster_meta"), "map_id")
         .where(on_raster)
         .withColumns({"row": row, "col": col})
         .where((F.col("row") < F.col("ny")) & (F.col("col") < F.col("nx")))
@@ -71,7 +72,7 @@ def override_cells(cells: DataFrame, pixels: DataFrame, value: str = "value") ->
     """Cells with the pixels' values where there are any."""
     given = pixels.select("map_id", "i", "j", F.col(value).alias("given"))
     return (
-        cells.join(given, ["map_id", "i", "j"], "left")
+        cells.join(counted_side(given, "given_pixels"), ["map_id", "i", "j"], "left")
         .withColumn("value", F.coalesce("given", "value"))
         .drop("given")
     )
@@ -105,7 +106,7 @@ def over_lists(pixels: DataFrame, values: Sequence[str]) -> DataFrame:
 def flip_rows(cells: DataFrame, meta: DataFrame) -> DataFrame:
     """Rows counted from the other edge."""
     return (
-        cells.join(meta.select("map_id", "ny"), "map_id")
+        cells.join(counted_side(meta.select("map_id", "ny"), "raster_meta"), "map_id")
         .withColumn("i", F.col("ny") - 1 - F.col("i"))
         .drop("ny")
     )

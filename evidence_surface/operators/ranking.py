@@ -82,7 +82,10 @@ def nearest_set(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def weighted_means(d: np.ndarray, values: np.ndarray, power: float, zero: float) -> np.ndarray:
-    weights = 1.0 / np.where(d == 0, zero, d) ** power
+    """Weights are 1 / d ** power, divided by that of the nearest: the same mean,
+    and no power leaves the range of doubles."""
+    d = np.where(d == 0, zero, d)
+    weights = (d.min(axis=1, keepdims=True) / d) ** power
     return (weights * values).sum(axis=1) / weights.sum(axis=1)
 
 

@@ -13,7 +13,6 @@ from ..operators.idw import (
     POINT_RADIUS,
     SMOOTHING_K,
     ZERO_DISTANCE,
-    check_power,
     smooth_crowd,
     smooth_sites,
 )
@@ -45,7 +44,7 @@ def map_cells(
     serve both, and a cell's row is never shuffled: the overriding values come
     to its block.
     """
-    power = check_power(power)
+    power = float(power)
     values = [METHODS[m] for m in methods]
     index = build_site_index(points, max(n_neighbors, k + 1))
     sites, placed = index.sites, points

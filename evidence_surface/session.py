@@ -45,6 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of unknown size: written and counted, then as `small_side`."""
+    written = materialise(df, name)
+    return small_side(written, written.count(), limit)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the known row count allows it, else a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

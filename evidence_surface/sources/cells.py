@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shuffle_partitions
-
-ROWS_PER_FILE = 1024  # grid rows of one map that share a file
+ROWS_PER_FILE = 4_000_000
 CODEC = "zstd"
 
 # Names of rasters delivered with the points.
@@ -16,15 +14,14 @@ AGE_SUFFIX = "_ma"
 
 def write_cells(cells: DataFrame, path: str, by: tuple[str, ...] = ("method", "map_id")) -> None:
     """One directory per method and map. Only the directories written to are
-    replaced. Rows of a map are kept together in bands, so that a map has few
-    files and a large map still many writers."""
-    n = shuffle_partitions(cells.sparkSession)
-    band = F.floor(F.col("i") / ROWS_PER_FILE)
+    replaced. Rows are gathered by directory, small directories together and
+    large ones over as many writers as their size asks for."""
     (
-        cells.repartition(n, *by, band)
+        cells.hint("rebalance", *by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", CODEC)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*by)
         .parquet(path)
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..session import BROADCAST_ROWS, materialise, small_side
 
 FEATURE_COLLECTION = """
 type STRING,
@@ -16,29 +18,59 @@ features ARRAY<STRUCT<
 COAST_SUFFIX = "_costa"
 EXTENSION = ".geojson"
 
-# The data set's name is the file's name, or that of the directory Spark wrote
-_NAME = rf"([^/=]+?)({COAST_SUFFIX})?\{EXTENSION}(/|$)"
+# The data set's name is the file's name, or that of the directory Spark wrote, after the
+# `key=` that such a directory may begin with
+_NAME = rf"/(?:dataset=)?([^/]+?)({COAST_SUFFIX})?\{EXTENSION}(/|$)"
+_DOCUMENT = r"/document=(\d+)/"
 _LINES = "array<array<double>>"
 
 
-def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _decoded(path: str) -> Column:
+    """A path of file metadata, in which all but plain signs are percent-encoded, as it is."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def read_features(
+    spark: SparkSession, path: str | list[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """One row per feature of all files: map_id (file name without extension
-    and coast suffix), is_coast, point_id (position in its file), the geometry's
-    type and coordinates as text, and the properties.
+    and coast suffix), is_coast, point_id (position in its data set), the
+    geometry's type and coordinates as text, and the properties.
 
     A file is one JSON document, read by one task; many files run in parallel.
+    A data set of several documents (`<name>.geojson/document=<n>/`) counts
+    positions through them in the order of n; the features of each are counted
+    first. Two files of one data set's name in different folders are an error.
     """
-    files = (
+    documents = (
         spark.read.schema(FEATURE_COLLECTION)
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .json(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
+        .withColumn("file", _decoded("_metadata.file_path"))
+    )
+    counts = materialise(
+        documents.select(
+            "file",
+            F.regexp_extract("file", rf"^(.*\{EXTENSION})(/|$)", 1).alias("dataset"),
+            F.concat(F.regexp_extract("file", _NAME, 1), F.lit("/"), F.regexp_extract("file", _NAME, 2)).alias("name"),
+            F.coalesce(F.regexp_extract("file", _DOCUMENT, 1).try_cast("long"), F.lit(0)).alias("document"),
+            F.coalesce(F.size("features"), F.lit(0)).cast("long").alias("n"),
+        ),
+        "documents",
+    )
+    twice = counts.groupBy("name").agg(F.count_distinct("dataset").alias("n")).where("n > 1").head(1)
+    if twice:
+        raise ValueError(f"files of several folders are named {twice[0]['name'].rstrip('/')}")
+    earlier = Window.partitionBy("dataset").orderBy("document", "file").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    files = documents.select("file", F.posexplode("features").alias("pos", "f")).join(
+        small_side(first, counts.count(), broadcast_rows), "file"
     )
     return files.select(
         F.regexp_extract("file", _NAME, 1).alias("map_id"),
         (F.regexp_extract("file", _NAME, 2) != "").alias("is_coast"),
-        F.col("pos").cast("bigint").alias("point_id"),
+        (F.col("first") + F.col("pos")).alias("point_id"),
         F.col("f.geometry.type").alias("type"),
         F.col("f.geometry.coordinates").alias("coordinates"),
         F.col("f.properties.Climate_Cl").alias("climate"),

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_surface.session import scratch_path
 
-IDS_PER_DOCUMENT = 50_000
+IDS_PER_DOCUMENT = 50_000  # so a data set becomes several documents, however large
 
 
-def _write_documents(features: DataFrame, path: str, mode: str) -> None:
+def _write_documents(features: DataFrame, path: str, mode: str, per_document: int | None = None) -> None:
     """`features` has dataset, id and feature, a JSON text."""
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct("id", "feature"))), lambda x: x["feature"]
@@ -23,7 +23,7 @@ def _write_documents(features: DataFrame, path: str, mode: str) -> None:
         F.lit("\n]}"),
     )
     (
-        features.withColumn("document", F.floor(F.col("id") / IDS_PER_DOCUMENT))
+        features.withColumn("document", F.floor(F.col("id") / (per_document or IDS_PER_DOCUMENT)))
         .groupBy("dataset", "document")
         .agg(document.alias("value"))
         .write.mode(mode)
@@ -42,7 +42,9 @@ def _dataset(suffix: str = "") -> Column:
     return F.concat(F.col("map_id").cast("string"), F.lit(f"_ma{suffix}.geojson"))
 
 
-def write_points(points: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_points(
+    points: DataFrame, path: str, mode: str = "errorifexists", per_document: int | None = None
+) -> None:
     geometry = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
     properties = F.to_json(
         F.struct(
@@ -56,7 +58,7 @@ def write_points(points: DataFrame, path: str, mode: str = "errorifexists") -> N
     features = points.select(
         _dataset().alias("dataset"), F.col("point_id").alias("id"), _feature(geometry, properties).alias("feature")
     )
-    _write_documents(features, path, mode)
+    _write_documents(features, path, mode, per_document)
 
 
 def write_coast(coast: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -321,10 +321,11 @@ def _texts() -> str:
 
 
 ORACLES: dict[str, str] = {
-    "geojson_points": f"""SELECT age_ma, CAST(row_number() OVER (PARTITION BY age_ma,
-        point_id // 50000 ORDER BY point_id) - 1 AS BIGINT) AS point_id, lon, lat, climate,
+    "geojson_points": f"""SELECT age_ma, CAST(row_number() OVER (PARTITION BY age_ma
+        ORDER BY point_id) - 1 AS BIGINT) AS point_id, lon, lat, climate,
         formation, basin, country, time FROM ({POINTS}) q""",
-    "coast_vertices": f"""SELECT age_ma, CAST(line_id AS VARCHAR) AS name,
+    "coast_vertices": f"""SELECT age_ma, CAST(dense_rank() OVER (PARTITION BY age_ma
+        ORDER BY line_id) - 1 AS BIGINT) AS feature_id, CAST(line_id AS VARCHAR) AS name,
         CASE WHEN line_id % 3 = 0 THEN 0 ELSE part END AS part,
         CASE WHEN line_id % 3 = 0 THEN CAST(part * 5 + seq AS INT) ELSE seq END AS seq, lon, lat
         FROM ({COAST}) q""",

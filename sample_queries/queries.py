@@ -82,7 +82,7 @@ def coast_vertices(spark, sf_dir):
     path = files.new_folder(spark, "geojson")
     files.write_coast(views.coast(spark, sf_dir), path)
     read = geojson.coast_vertices(geojson.read_features(spark, path))
-    return age_of_base(read).select("age_ma", "name", "part", "seq", "lon", "lat")
+    return age_of_base(read).select("age_ma", "feature_id", "name", "part", "seq", "lon", "lat")
 
 
 @query

@@ -45,7 +45,7 @@ SELECT CAST(65 + 5 * n_nationkey AS INT) AS age_ma,
        concat('map_', CAST(65 + 5 * n_nationkey AS VARCHAR(10)),
               '_ma_knn_idw_power4.0_gradient_sharp18.0') AS stem,
        n_nationkey % 3 <> 0 AS has_pdf, n_nationkey % 4 <> 0 AS has_coast
-FROM nation WHERE n_nationkey < 17
+FROM nation
 """
 
 _TABLES = ("customer", "nation", "region", "orders")

@@ -130,11 +130,28 @@ def test_no_points(spark):
     assert idw_surface(empty, 1.0).count() == 0
 
 
-def test_k_zero_keeps_values_and_power_is_limited(spark):
+def test_k_zero_keeps_values(spark):
     df = spark.createDataFrame(random_points(3, maps=1, n=10), COLUMNS)
     assert knn_smooth(df, k=0).where("smoothed <> value").count() == 0
+
+
+def test_any_power_tends_to_the_nearest(spark):
+    """At a very large power a cell has the value of its nearest point."""
+    rows = random_points(3, maps=1, n=10)
+    df = spark.createDataFrame(rows, COLUMNS)
+    for power in (40.0, 3000.0):
+        cells = idw_surface(df, 3.0, power=power, n_neighbors=5, preserve_points=False).collect()
+        for c in cells:
+            d = sorted((((p[2] - c.lon) ** 2 + (p[3] - c.lat) ** 2) ** 0.5, p[4]) for p in rows)
+            if d[1][0] > 1.2 * d[0][0] and power > 1000:
+                assert abs(c.value - d[0][1]) < 1e-9
+            assert 1 <= c.value <= 3
+
+
+def test_an_index_of_too_few_points_per_location_is_refused(spark):
+    df = spark.createDataFrame(random_points(3, maps=1, n=10), COLUMNS)
     with pytest.raises(ValueError):
-        idw_surface(df, 1.0, power=31.0)
+        idw_surface(df, 1.0, n_neighbors=20, index=build_site_index(df, 9))
 
 
 def test_surface_properties(spark):

@@ -41,6 +41,38 @@ def test_points(spark, folder):
     assert (p.climate, p.basin, p.country, p.time) == ("H", "", None, "110.0")
 
 
+def test_ids_go_on_through_the_documents_of_a_data_set(spark, tmp_path):
+    import os
+
+    base = tmp_path / "late crétacé+1_ma.geojson"
+    for n, count in ((0, 3), (2, 0), (10, 4), (9, 2)):
+        features = [feature("Point", [n, i], NAME=f"{n}-{i}") for i in range(count)]
+        os.makedirs(base / f"document={n}")
+        (base / f"document={n}" / "part-0.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    for limit in (100, 0):  # broadcast counts, shuffled counts
+        rows = geojson.read_features(spark, f"{tmp_path}/*/*", broadcast_rows=limit).collect()
+        assert {r.name: r.point_id for r in rows} == {
+            f"{n}-{i}": first + i for n, count, first in ((0, 3, 0), (9, 2, 3), (10, 4, 5)) for i in range(count)
+        }
+        assert {r.map_id for r in rows} == {"late crétacé+1_ma"}
+
+
+def test_one_name_in_two_folders_is_an_error(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1_ma.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    with pytest.raises(ValueError):
+        geojson.read_features(spark, f"{tmp_path}/*")
+
+
+def test_names_agree_with_discovery(spark, tmp_path):
+    text = json.dumps({"type": "FeatureCollection", "features": [feature("Point", [1, 2])]})
+    for suffix in ("", "_costa"):
+        (tmp_path / f"late crétacé a=b+c_ma{suffix}.geojson").write_text(text)
+    read = {r.map_id for r in geojson.read_features(spark, str(tmp_path)).collect()}
+    assert read == {r.map_id for r in geojson.discover_datasets(spark, str(tmp_path)).collect()} == {"late crétacé a=b+c_ma"}
+
+
 def test_coast_and_bounds(spark, folder):
     features = geojson.read_features(spark, str(folder / "*.geojson"))
     coast = geojson.coast_vertices(features)
