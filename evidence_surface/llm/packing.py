@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evidence_surface.llm.common import materialise
-from evidence_surface.llm.tokens import Encoder
+from evidence_surface.llm.tokens import encoder_of
 from evidence_surface.llm.words import slices
 
 WINDOW = 2048
 PIECE = 512
 PIECES_PER_GROUP = 512
-_TEXT_BYTES = 1 << 20
+_TEXT_BYTES = 1 << 19
 
 
 def differencing(lengths: np.ndarray, m: int) -> tuple[np.ndarray, int]:
@@ -89,7 +89,7 @@ def _cuts(n: int, window: int, piece: int) -> list[int]:
 def _pieces(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int, piece: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     for whole in batches:
         for batch in slices(whole, "text", _TEXT_BYTES):
             ids, counts = encoder.encode(batch.column("text").to_pylist())

@@ -16,7 +16,7 @@ import numpy as np
 
 from evidence_surface.llm.words import ragged, run_hashes
 
-MOST_WORDS = 500_000  # distinct words a worker remembers
+MOST_WORDS = 300_000  # distinct words a worker remembers
 RUN = 2000  # words encoded as one text
 WORD_END = "</w>"
 _HIGH = 0x10000
@@ -143,3 +143,9 @@ class Encoder:
             counts[i] = len(own)
         parts.append(ids[at:])
         return np.concatenate(parts), counts
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with the words it has met in earlier tasks."""
+    return Encoder(path)
