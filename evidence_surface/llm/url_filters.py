@@ -137,7 +137,8 @@ def _grow(rows: DataFrame, margin: Column, bins: Sequence[str]) -> dict[int, tup
     by_feature = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(b).alias("b")) for f, b in enumerate(bins)]))
     for depth in range(DEPTH + 1):
         sums = (
-            rows.withColumn("node", _node_of(tree, bins))
+            rows.coalesce(1)  # a bounded sample's vectors: no exchange for each level
+            .withColumn("node", _node_of(tree, bins))
             .where("node > 0")
             .select("node", ((share - F.col("block")) * F.col("weight")).alias("g"), (share * (1 - share) * F.col("weight")).alias("h"), by_feature.alias("at"))
             .groupBy("node", "at.f", "at.b")
