@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.naming import age_from_name, age_label, pdf_path
 
@@ -30,5 +30,12 @@ def map_catalog(names: DataFrame, pdfs: DataFrame, folder: str) -> DataFrame:
     )
 
 
+SCHEMA = "age_ma int, label string, path string, pdf string"
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).json(path)
+
+
 def write_catalog(catalog: DataFrame, path: str) -> None:
     catalog.write.mode("overwrite").json(path)

@@ -37,6 +37,27 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# what describes a raster besides its cells: extent, shape and pixel size
+RASTER_META = ("min_lon", "max_lon", "min_lat", "max_lat", "nx", "ny", "pixel_x", "pixel_y")
+
+
+def write_rasters(cells: DataFrame, meta: DataFrame, path: str, by: tuple[str, ...] = ("raster",)) -> None:
+    """Cells and, beside them, a row per raster of `meta` with its own extent and shape."""
+    write_cells(cells, f"{path}/cells", by)
+    (
+        meta.select(*by, *RASTER_META)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*by)
+        .parquet(f"{path}/meta")
+    )
+
+
+def read_rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The cells and the metadata that `write_rasters` stored."""
+    return read_cells(spark, f"{path}/cells"), spark.read.parquet(f"{path}/meta")
+
+
 def stored_rasters(spark: SparkSession, path: str, key: str = "raster") -> DataFrame:
     """Names of the rasters stored under `path`, from the listing alone."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -61,7 +61,7 @@ def write_points(
     _write_documents(features, path, mode, per_document)
 
 
-def write_coast(coast: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_coast(coast: DataFrame, path: str, mode: str = "errorifexists", suffix: str = "_costa") -> None:
     """Every third line as a LineString, the others as MultiLineString."""
     vertices = F.array_sort(F.collect_list(F.struct("part", "seq", F.array("lon", "lat").alias("at"))))
     lines = coast.groupBy("map_id", "line_id").agg(vertices.alias("v"))
@@ -78,7 +78,7 @@ def write_coast(coast: DataFrame, path: str, mode: str = "errorifexists") -> Non
         F.struct(F.col("line_id").cast("string").alias("NAME"), F.col("map_id").cast("string").alias("TIME"))
     )
     features = lines.select(
-        _dataset("_costa").alias("dataset"), F.col("line_id").alias("id"), _feature(geometry, properties).alias("feature")
+        _dataset(suffix).alias("dataset"), F.col("line_id").alias("id"), _feature(geometry, properties).alias("feature")
     )
     _write_documents(features, path, mode)
 

@@ -6,8 +6,11 @@ from .queries import (
     CATALOG_FOLDER,
     CHOSEN_BASINS,
     COARSE,
+    CROP_I,
+    CROP_J,
     FINE,
     K,
+    LINES_ONLY_AGE,
     NEIGHBOURS,
     NODATA_FROM,
     POWER,
@@ -128,7 +131,7 @@ SMOOTH = [
 ]
 
 
-def _pixels(pts: str = "pts", mirror: bool = False) -> list[tuple[str, str]]:
+def _pixels(pts: str = "pts", mirror: bool = False, meta: str = "meta") -> list[tuple[str, str]]:
     down = "max_lat - lat" if mirror else "lat - min_lat"
     return [
         (
@@ -136,7 +139,7 @@ def _pixels(pts: str = "pts", mirror: bool = False) -> list[tuple[str, str]]:
             f"""SELECT p.age_ma, p.value, m.nx, m.ny,
                 CAST(trunc((lon - min_lon) / pixel_x) AS INT) AS c,
                 CAST(trunc(({down}) / pixel_y) AS INT) AS r
-                FROM {pts} p JOIN meta m ON p.age_ma = m.age_ma
+                FROM {pts} p JOIN {meta} m ON p.age_ma = m.age_ma
                 WHERE lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat""",
         ),
         (
@@ -236,13 +239,13 @@ GAPS = (
 )
 
 
-def _map(method: str, mirror: bool = False) -> str:
+def _map(method: str, mirror: bool = False, res: float = FINE) -> str:
     """One method's class shares."""
     pts = "pts" if method == "idw" else "smooth"
     parts = [
-        *_cells(FINE),
+        *_cells(res),
         *(SMOOTH if method == "knn_idw" else []),
-        *_near(FINE, pts=pts),
+        *_near(res, pts=pts),
         SURF,
         *_pixels(pts, mirror),
         _overridden(),
@@ -320,6 +323,24 @@ def _texts() -> str:
     return ", ".join(columns)
 
 
+OWN = (
+    "own",
+    f"""SELECT age_ma, min_lon + {CROP_J} * pixel_x AS min_lon, max_lon,
+        min_lat + {CROP_I} * pixel_y AS min_lat, max_lat, nx - {CROP_J} AS nx, ny - {CROP_I} AS ny,
+        pixel_x, pixel_y FROM meta""",
+)
+
+
+def _delivered(north_up: bool) -> str:
+    """A raster of its own extent, its rows from the south or from the north."""
+    row = f"ny - 1 - (i - {CROP_I})" if north_up else f"i - {CROP_I}"
+    raster = f"""SELECT s.age_ma, CAST({row} AS INT) AS i, j - {CROP_J} AS j, value
+        FROM surf s JOIN own o ON s.age_ma = o.age_ma WHERE i >= {CROP_I} AND j >= {CROP_J}"""
+    return f"""{_ctes(*_surface(COARSE), OWN, ('raster', raster), *_pixels(mirror=north_up, meta='own'),
+        _overridden('raster'), *_coloured('final'))}
+        SELECT age_ma, i, j, round(value, 6) AS value, r, g, b FROM rgb"""
+
+
 ORACLES: dict[str, str] = {
     "geojson_points": f"""SELECT age_ma, CAST(row_number() OVER (PARTITION BY age_ma
         ORDER BY point_id) - 1 AS BIGINT) AS point_id, lon, lat, climate,
@@ -400,6 +421,31 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT * FROM ({_map('knn_idw', True)}) b""",
     "map_original": f"""{_ctes(*_surface(COARSE), ORIGINAL, *_pixels(), _overridden('orig'),
         *_coloured('final'))} SELECT age_ma, i, j, round(value, 6) AS value, r, g, b FROM rgb""",
+    "map_original_own_extent": _delivered(False),
+    "map_original_north_up": _delivered(True),
+    "combined_bounds_stored": f"""{_ctes(PTS, *_meta(COARSE), OWN, ('cst', COAST),
+          ('verts', f'''SELECT age_ma, lon, lat FROM pts UNION ALL SELECT age_ma, lon, lat FROM cst
+            UNION ALL SELECT age_ma, min_lon, min_lat FROM own
+            UNION ALL SELECT age_ma, max_lon, max_lat FROM own'''),
+          ('comb', f'SELECT age_ma, {BOUNDS} FROM verts GROUP BY age_ma'),
+          ('listed', 'SELECT DISTINCT age_ma FROM pts'))}
+        SELECT l.age_ma, round(c.min_lat, 6) AS min_lat, round(c.min_lon, 6) AS min_lon,
+        round(c.max_lat, 6) AS max_lat, round(c.max_lon, 6) AS max_lon,
+        {', '.join(f"round(o.{b}, 6) AS view_{b}" for b in ('min_lat', 'min_lon', 'max_lat', 'max_lon'))}
+        FROM listed l JOIN comb c ON l.age_ma = c.age_ma JOIN own o ON l.age_ma = o.age_ma""",
+    "run_folder_stats": f"""WITH st AS (SELECT * FROM ({_map('idw', res=COARSE)}) a
+          UNION ALL SELECT * FROM ({_map('knn_idw', res=COARSE)}) b),
+        np AS (SELECT age_ma, COUNT(*) AS n FROM ({POINTS}) q GROUP BY age_ma),
+        nc AS (SELECT age_ma, COUNT(DISTINCT line_id) AS n FROM ({COAST}) q GROUP BY age_ma)
+        SELECT age_ma, method, 'processed' AS status, np.n AS n_points, nc.n AS n_coast,
+        concat(age_ma, ' ma') AS title,
+        concat('map_', age_ma, '_ma_', method, '_power4.0_gradient_sharp18.0.html') AS path,
+        concat(age_ma, ' Ma') AS label,
+        total, dry, semi_arid, humid, classified, other,
+        pct_dry, pct_semi_arid, pct_humid, pct_classified, pct_other, power
+        FROM st JOIN np USING (age_ma) JOIN nc USING (age_ma)
+        UNION ALL SELECT {LINES_ONLY_AGE}, NULL, 'skipped', 0, n, NULL, NULL, NULL,
+        NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nc WHERE age_ma = 65""",
     "location_groups": f"{_ctes(*GROUPS)} SELECT * FROM places",
     "location_details": f"""{_ctes(PTS, ('n', '''SELECT *,
           row_number() OVER (PARTITION BY age_ma, lon, lat ORDER BY point_id) AS idx,

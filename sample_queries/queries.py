@@ -18,7 +18,7 @@ from evidence_surface.functions.colour import (
 from evidence_surface.functions.naming import params_suffix
 from evidence_surface.operators import bounds, grid, idw, locations, neighbours, pixels, summary
 from evidence_surface.operators.sites import build_site_index
-from evidence_surface.plans import maps
+from evidence_surface.plans import folder, maps
 from evidence_surface.sources import catalog, cells as cell_store, geojson
 
 from . import files, views
@@ -385,6 +385,88 @@ def map_original(spark, sf_dir):
     return by_age(drawn, "age_ma", "i", "j", "value", "r", "g", "b")
 
 
+CROP_I, CROP_J = 2, 3  # rows and columns a delivered raster lacks in the south and west
+
+
+def _delivered(spark, sf_dir, north_up):
+    """Cells and metadata, read back, of rasters with an extent of their own."""
+    path = files.new_folder(spark, "delivered")
+    meta = grid.grid_meta(views.points(spark, sf_dir), COARSE)
+    name = F.concat(F.col("map_id").cast("string"), F.lit("_ma_idw"))
+    own = meta.withColumns(
+        {
+            "min_lon": F.col("min_lon") + CROP_J * F.col("pixel_x"),
+            "min_lat": F.col("min_lat") + CROP_I * F.col("pixel_y"),
+            "nx": F.col("nx") - CROP_J,
+            "ny": F.col("ny") - CROP_I,
+        }
+    )
+    cells = surface(spark, sf_dir).where((F.col("i") >= CROP_I) & (F.col("j") >= CROP_J))
+    cells = cells.withColumns({"i": F.col("i") - CROP_I, "j": F.col("j") - CROP_J})
+    if north_up:
+        cells = pixels.flip_rows(cells, own)
+    cells = cells.withColumn("raster", name).select("raster", "i", "j", "value")
+    cell_store.write_rasters(cells, own.withColumn("raster", name), path)
+    read = [df.withColumn("map_id", F.split("raster", "_")[0].cast("int")) for df in cell_store.read_rasters(spark, path)]
+    return read[0].drop("raster"), read[1].drop("raster")
+
+
+def _map_delivered(spark, sf_dir, north_up):
+    cells, meta = _delivered(spark, sf_dir, north_up)
+    drawn = maps.map_original(cells, views.points(spark, sf_dir), meta, SHARP, mirror_rows=north_up)
+    return by_age(drawn, "age_ma", "i", "j", "value", "r", "g", "b")
+
+
+@query
+def map_original_own_extent(spark, sf_dir):
+    return _map_delivered(spark, sf_dir, False)
+
+
+@query
+def map_original_north_up(spark, sf_dir):
+    return _map_delivered(spark, sf_dir, True)
+
+
+@query
+def combined_bounds_stored(spark, sf_dir):
+    """Every map has a stored raster, whose extent is the view's."""
+    points = views.points(spark, sf_dir)
+    _, meta = _delivered(spark, sf_dir, False)
+    result = bounds.combined_bounds(
+        points.select("map_id").distinct(),
+        bounds.feature_bounds(points),
+        bounds.feature_bounds(views.coast(spark, sf_dir)),
+        meta,
+    )
+    return by_age(result, "age_ma", *bounds.BOUNDS, *(f"view_{b}" for b in bounds.BOUNDS))
+
+
+LINES_ONLY_AGE = 150
+
+
+@query
+def run_folder_stats(spark, sf_dir):
+    """From a folder of files to the stored shares; one data set has lines only, and a second
+    run replaces its own maps."""
+    path, out = files.new_folder(spark, "geojson"), files.new_folder(spark, "maps")
+    points, coast = views.points(spark, sf_dir), views.coast(spark, sf_dir)
+    files.write_points(points, path)
+    files.write_coast(coast, path, "append")
+    lines_only = coast.where(F.col("map_id") == 65).withColumn("map_id", F.lit(LINES_ONLY_AGE))
+    for suffix in ("", "_costa"):
+        files.write_coast(lines_only, path, "append", suffix)
+    for power in (2.0, POWER):
+        run = folder.run_folder(spark, path, out, power, SHARP, resolution=COARSE, n_neighbors=NEIGHBOURS, k=K)
+    listed = run.catalog.select(F.col("age_ma").alias("listed_age"), "label", F.col("pdf"))
+    shown = age_of_base(run.summary.join(run.stats, "map_id", "left")).join(
+        listed, F.col("age_ma") == F.col("listed_age"), "left"
+    )
+    shown = shown.withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
+    return by_age(
+        shown, "age_ma", "method", "status", "n_points", "n_coast", "title", "path", "label", *STATS, *PERCENTS, "power",
+    )
+
+
 # --- locations, bounds, summaries ------------------------------------------
 
 
