@@ -39,6 +39,18 @@ def bounded_side(df: DataFrame, rows: int) -> DataFrame:
     return session.small_side(df, rows)
 
 
+def bounded_sample(df: DataFrame, most: int, *by: str, seed: int = 0) -> DataFrame:
+    """At most `most` rows, those of the least hash of the columns `by`.
+
+    Only about `most` rows leave the tasks, however many tasks there are: rows whose hash is
+    beyond the share needed are dropped where they are read.
+    """
+    share = min(1.0, 1.2 * most / max(df.count(), 1) + 1e-4)
+    spot = F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 40))
+    near = df.withColumn("spot_", spot).where(F.col("spot_") <= int(share * (1 << 40)))
+    return near.orderBy("spot_", *by).limit(most).drop("spot_")
+
+
 def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """`docs` without the rows whose keys (null equals null) are in `gone`, written beforehand.
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from evidence_surface.llm.common import bounded_sample
 from evidence_surface.llm.words import buffers, slices
 
 WINDOW = 64
@@ -245,11 +246,10 @@ def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Trains on at most TRAIN_DOCS of the rows of `labelled`, those with text and language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    order = F.xxhash64(F.col(id_col), F.lit(1))
-    # ids and keys first: only the chosen texts are gathered
-    sample = rows.orderBy(order, id_col, text_col).limit(TRAIN_DOCS).select(text_col, lang_col).collect()
-    return train([r[0] for r in sample], [r[1] for r in sample]) if sample else None
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sample = bounded_sample(rows.select(id_col, text_col, lang_col), TRAIN_DOCS, id_col, lang_col).collect()
+    sample = sorted((r for r in sample if r[text_col]), key=lambda r: (str(r[id_col]), r[text_col]))
+    return train([r[text_col] for r in sample], [r[lang_col] for r in sample]) if sample else None
 
 
 def predict_language(
