@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidence_surface.llm.common import materialise
+from evidence_surface.llm.common import bounded_sample, materialise
 from evidence_surface.llm.fuse import mix
 from evidence_surface.llm.words import buffers, run_hashes, slices
 
@@ -172,8 +172,8 @@ def quality_filter(
     )
     # an id with contrary labels counts as good
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    sample = [marks.where(F.col("good") == g).orderBy(order, "doc_id").limit(MOST_LABELLED) for g in (True, False)]
+    marks = materialise(marks, "marks")
+    sample = [bounded_sample(marks.where(F.col("good") == g), MOST_LABELLED, "doc_id", seed=seed) for g in (True, False)]
     sample = materialise(sample[0].unionByName(sample[1]), "labelled")
     ratios = spark.sparkContext.broadcast(log_ratios(rows.select("doc_id", "text"), sample.where("good").select("doc_id")))
     kind = dict(rows.dtypes)["doc_id"]
