@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidence_surface.llm.common import materialise
+from evidence_surface.llm.common import bounded_sample, materialise
 
 TREES = 10
 DEPTH = 3
@@ -188,7 +188,7 @@ def described(urls: DataFrame, url_col: str) -> DataFrame:
 def fit(labelled: DataFrame, url_col: str = "url", block_col: str = "block", trees: int = TREES) -> UrlModel:
     """Trains on at most MOST_LABELLED rows of `labelled`: a url and whether it is to be blocked."""
     sample = labelled.select(F.col(url_col).alias("url"), F.col(block_col).cast("double").alias("block"))
-    sample = sample.where("block IS NOT NULL").orderBy(F.xxhash64("url", "block"), "url").limit(MOST_LABELLED)
+    sample = bounded_sample(sample.where("block IS NOT NULL"), MOST_LABELLED, "url", "block")
     rows = materialise(described(sample, "url").drop("url", "host", "path"), "labelled_urls")
     n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0.0))).first()
     prior = (blocked + 0.01) / (n + 1)
