@@ -9,6 +9,7 @@ whose lower case is longer) go to the library as they are; the ids are the same.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -48,6 +49,8 @@ class Encoder:
     """Encodes texts with a tokenizer file; `encode` gives all ids and each text's count."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would each hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
