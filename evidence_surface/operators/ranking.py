@@ -2,8 +2,9 @@
 
 Spark has placed each group with its short candidate list in one row; here
 the distances of all places of a group to all its candidates are one small
-matrix. The same in SQL functions takes several times as long (a row per
-pair to sort, or interpreted lambdas over arrays).
+matrix. Groups of one place, of which dense maps have many, are ranked for a
+whole batch at once. The same in SQL functions takes several times as long (a
+row per pair to sort, or interpreted lambdas over arrays).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 CELLS_PER_BATCH = 65_536
+PAIRS_AT_ONCE = 500_000
 
 
 class Lists:
@@ -30,6 +32,17 @@ class Lists:
             order = np.lexsort((self._fields[by], row))
             self._fields = {c: f[order] for c, f in self._fields.items()}
 
+    def lengths(self) -> np.ndarray:
+        return np.diff(self._offsets)
+
+    def flat(self, rows: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The elements of some rows: which of the rows each is of, and its fields."""
+        many = self.lengths()[rows]
+        ends = np.cumsum(many)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)
+        at = np.repeat(self._offsets[:-1][rows], many) + step
+        return np.repeat(np.arange(len(rows)), many), {c: f[at] for c, f in self._fields.items()}
+
     def of(self, row: int) -> dict[str, np.ndarray]:
         part = slice(self._offsets[row], self._offsets[row + 1])
         return {c: f[part] for c, f in self._fields.items()}
@@ -89,6 +102,41 @@ def weighted_means(d: np.ndarray, values: np.ndarray, power: float, zero: float)
     return (weights * values).sum(axis=1) / weights.sum(axis=1)
 
 
+def _by_pairs(rows: np.ndarray, many: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in runs of about PAIRS_AT_ONCE candidates; a fuller row is a run of its own."""
+    total, at = np.cumsum(many), 0
+    while at < len(rows):
+        before = total[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(total, before + PAIRS_AT_ONCE, "right")))
+        yield np.arange(at, upto)
+        at = upto
+
+
+def nearest_of_each(place: np.ndarray, found: dict[str, np.ndarray], lon, lat, k: int, but: np.ndarray | None = None):
+    """`nearest` for many places, each with candidates of its own: `place` is the place
+    of each candidate. Returns the places, candidate numbers, ranks from 0 and distances."""
+    at = np.arange(len(place)) if but is None else np.flatnonzero(found["point_id"] != but[place])
+    place = place[at]
+    dx, dy = lon[place] - found["lon"][at], lat[place] - found["lat"][at]
+    d = np.sqrt(dx * dx + dy * dy)
+    order = np.lexsort((found["point_id"][at], d, place))
+    place, at, d = place[order], at[order], d[order]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = place[1:] != place[:-1]
+    rank = np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+    kept = rank < k
+    return place[kept], at[kept], rank[kept], d[kept]
+
+
+def means_of_each(rank: np.ndarray, d: np.ndarray, values: np.ndarray, power: float, zero: float):
+    """`weighted_means` of the places that have neighbours, in their order."""
+    d = np.where(d == 0, zero, d)
+    first = np.flatnonzero(rank == 0)
+    nearest_d = np.repeat(d[first], np.diff(np.append(first, len(d))))
+    weights = (nearest_d / d) ** power
+    return np.add.reduceat(weights * values, first) / np.add.reduceat(weights, first) if len(first) else d[:0]
+
+
 def _cells_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     i = np.arange(row["i0"], min(row["i0"] + row["side"], row["ny"]), dtype=np.int32)
     j = np.arange(row["j0"], min(row["j0"] + row["side"], row["nx"]), dtype=np.int32)
@@ -98,16 +146,27 @@ def _cells_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK_COLUMNS = ("i0", "j0", "side", "nx", "ny", "min_lon", "min_lat", "resolution")
 
 
+def _single_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Groups of one cell: their rows in the batch, i, j, lon, lat."""
+    c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in _BLOCK_COLUMNS}
+    rows = np.flatnonzero(c["side"] == 1)
+    i, j = c["i0"][rows].astype(np.int32), c["j0"][rows].astype(np.int32)
+    step = c["resolution"][rows]
+    return rows, i, j, c["min_lon"][rows] + j * step, c["min_lat"][rows] + i * step
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of several cells."""
     columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _BLOCK_COLUMNS}
-    for n in range(batch.num_rows):
+    for n in np.flatnonzero(columns["side"] > 1):
         row = {c: v[n] for c, v in columns.items()}
         i, j = _cells_of(row)
         yield n, i, j, row["min_lon"] + j * row["resolution"], row["min_lat"] + i * row["resolution"]
 
 
-def _in_parts(parts: Iterator[tuple[int, dict[str, np.ndarray]]], batch: pa.RecordBatch, keep: Sequence[str]):
-    """Batches of the parts' columns, led by the group's columns in `keep`."""
+def _in_parts(parts: Iterator[tuple[int | np.ndarray, dict[str, np.ndarray]]], batch: pa.RecordBatch, keep: Sequence[str]):
+    """Batches of the parts' columns, led by the columns in `keep` of their groups: the
+    number of a group, or one for each row of the part."""
     rows, columns, size = [], [], 0
 
     def flush():
@@ -123,7 +182,7 @@ def _in_parts(parts: Iterator[tuple[int, dict[str, np.ndarray]]], batch: pa.Reco
         length = len(next(iter(part.values())))
         if not length:
             continue
-        rows.append(np.full(length, n))
+        rows.append(np.broadcast_to(n, length))
         columns.append(part)
         size += length
         if size >= CELLS_PER_BATCH:
@@ -153,6 +212,18 @@ def cell_rows(k: int, values: Sequence[str]) -> Callable:
                         "d": d.ravel(),
                         **{v: found[v][order].ravel() for v in values},
                     }
+                rows, i, j, lon, lat = _single_cells(batch)
+                for part in _by_pairs(rows, lists.lengths()[rows]):
+                    owner, found = lists.flat(rows[part])
+                    place, at, rank, d = nearest_of_each(owner, found, lon[part], lat[part], k)
+                    yield rows[part][place], {
+                        "i": i[part][place],
+                        "j": j[part][place],
+                        "rn": (rank + 1).astype(np.int32),
+                        "point_id": found["point_id"][at],
+                        "d": d,
+                        **{v: found[v][at] for v in values},
+                    }
 
             yield from _in_parts(parts(), batch, ["map_id"])
 
@@ -170,6 +241,16 @@ def _override(given: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, values
     return columns
 
 
+def _override_single(over: Lists, rows: np.ndarray, i: np.ndarray, j: np.ndarray, values: Sequence[str]):
+    """As `_override`, for groups of one cell each."""
+    owner, given = over.flat(rows)
+    same = (given["i"] == i[owner]) & (given["j"] == j[owner])
+    columns = {f"over_{v}": np.full(len(rows), np.nan) for v in values}
+    for v in values:
+        columns[f"over_{v}"][owner[same]] = given[v][same]
+    return columns
+
+
 def cell_surface(
     k: int,
     values: Sequence[str],
@@ -205,6 +286,19 @@ def cell_surface(
                     if over is not None:
                         part.update(_override(over.of(n), i, j, values))
                     yield n, part
+                rows, i, j, lon, lat = _single_cells(batch)
+                for some in _by_pairs(rows, lists.lengths()[rows]):
+                    owner, found = lists.flat(rows[some])
+                    _, at, rank, d = nearest_of_each(owner, found, lon[some], lat[some], k)
+                    part = {"i": i[some], "j": j[some], "lon": lon[some], "lat": lat[some]}
+                    first = rank == 0
+                    for v in values:
+                        part[v] = means_of_each(rank, d, found[v][at], power, zero)
+                        if radius is not None:
+                            part[v] = np.where(d[first] < radius, found[v][at][first], part[v])
+                    if over is not None:
+                        part.update(_override_single(over, rows[some], i[some], j[some], values))
+                    yield rows[some], part
 
             yield from _in_parts(parts(), batch, ["map_id"])
 
@@ -212,16 +306,25 @@ def cell_surface(
 
 
 def _members(batch: pa.RecordBatch, lists: Lists, mates: Lists, need: int):
-    """Each group's own sites (all of a page, or one) and their candidates."""
+    """The sites of each group of a whole page, and their candidates."""
     only = batch.column("member").to_numpy()
-    for n in range(batch.num_rows):
+    for n in np.flatnonzero(only < 0):
         own = mates.of(n)
-        if only[n] >= 0:
-            one = own["point_id"] == only[n]
-            own = {c: f[one] for c, f in own.items()}
         yield n, own, near_box(lists.of(n), own["lon"], own["lat"], need)
 
 
+def _single_members(batch: pa.RecordBatch, lists: Lists, mates: Lists):
+    """Runs of groups of one site: their rows in the batch, the sites, and the site and
+    fields of each candidate."""
+    only = batch.column("member").to_numpy()
+    rows = np.flatnonzero(only >= 0)
+    for part in _by_pairs(rows, lists.lengths()[rows]):
+        some = rows[part]
+        owner, mate = mates.flat(some)
+        one = mate["point_id"] == only[some][owner]
+        yield some, {c: f[one] for c, f in mate.items()}, *lists.flat(some)
+
+
 def site_rows(k: int, exclude_self: bool) -> Callable:
     """Groups of sites -> one row per site and neighbour."""
     need = k + 1 if exclude_self else k
@@ -243,6 +346,16 @@ def site_rows(k: int, exclude_self: bool) -> Callable:
                         "d": d.ravel(),
                         "value": found["value"][order].ravel(),
                     }
+                for rows, own, owner, found in _single_members(batch, lists, mates):
+                    but = own["point_id"] if exclude_self else None
+                    place, at, rank, d = nearest_of_each(owner, found, own["lon"], own["lat"], k, but)
+                    yield rows[place], {
+                        "point_id": own["point_id"][place],
+                        "rn": (rank + 1).astype(np.int32),
+                        "neighbour_id": found["point_id"][at],
+                        "d": d,
+                        "value": found["value"][at],
+                    }
 
             yield from _in_parts(parts(), batch, ["map_id"])
 
@@ -268,6 +381,12 @@ def site_means(k: int, exclude_self: bool, power: float, zero: float) -> Callabl
                     else:
                         mean = own["value"]
                     yield n, {**own, "smoothed": mean}
+                for rows, own, owner, found in _single_members(batch, lists, mates):
+                    but = own["point_id"] if exclude_self else None
+                    place, at, rank, d = nearest_of_each(owner, found, own["lon"], own["lat"], k, but)
+                    mean = own["value"].astype(float)
+                    mean[place[rank == 0]] = means_of_each(rank, d, found["value"][at], power, zero)
+                    yield rows, {**own, "smoothed": mean}
 
             yield from _in_parts(parts(), batch, ["map_id", "page"])
 
