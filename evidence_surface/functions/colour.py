@@ -54,16 +54,18 @@ def with_colour(cells: DataFrame, factor: float = 2.5) -> DataFrame:
 
 
 def with_hsv(pixels: DataFrame) -> DataFrame:
-    """Adds h8 (0..179), s8 and v8 (0..255) from r, g, b."""
+    """Adds h8 (0..179), s8 and v8 (0..255) from r, g, b, as 8-bit image code has them:
+    the reciprocals of the spread and the top are whole numbers of 1/4096."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     top, spread = F.col("_top"), F.col("_spread")
-    sixth = (
-        F.when(spread == 0, F.lit(0.0))
-        .when(top == r, F.try_divide(g - b, spread))
-        .when(top == g, F.try_divide(b - r, spread) + 2.0)
-        .otherwise(F.try_divide(r - g, spread) + 4.0)
-    )
-    half_degrees = F.floor(sixth * 30.0 + 0.5).cast("int")
+    sixth = F.when(top == r, g - b).when(top == g, b - r + 2 * spread).otherwise(r - g + 4 * spread)
+
+    def fixed(part: Column, scale: float, whole: Column) -> Column:
+        """part * scale / whole in 12-bit fixed point; 0 for nothing."""
+        factor = F.coalesce(F.rint(F.try_divide(F.lit(scale * 4096), whole)), F.lit(0.0))
+        return F.floor((part * factor + 2048) / 4096).cast("int")
+
+    half_degrees = fixed(sixth, 30.0, spread)
     return (
         pixels.withColumn("_top", F.greatest(r, g, b))
         .withColumn("_spread", top - F.least(r, g, b))
@@ -71,9 +73,7 @@ def with_hsv(pixels: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "h8": F.when(F.col("_hue") < 0, F.col("_hue") + 180).otherwise(F.col("_hue")),
-                "s8": F.when(top == 0, F.lit(0)).otherwise(
-                    F.floor(F.try_divide(spread * 255.0, top) + 0.5).cast("int")
-                ),
+                "s8": fixed(spread, 255.0, top),
                 "v8": top,
             }
         )

@@ -195,12 +195,12 @@ def _classed(rgb: str, keep: str) -> list[tuple[str, str]]:
         ),
         (
             "hue",
-            """SELECT *, CAST(floor(30e0 * (CASE WHEN spread = 0 THEN 0e0
-                 WHEN v8 = r THEN CAST(g - b AS DOUBLE) / spread
-                 WHEN v8 = g THEN CAST(b - r AS DOUBLE) / spread + 2e0
-                 ELSE CAST(r - g AS DOUBLE) / spread + 4e0 END) + 0.5e0) AS INT) AS h0,
+            # fixed point: reciprocals are whole numbers of 1/4096
+            """SELECT *, CASE WHEN spread = 0 THEN 0 ELSE CAST(floor((
+                 (CASE WHEN v8 = r THEN g - b WHEN v8 = g THEN b - r + 2 * spread
+                   ELSE r - g + 4 * spread END) * round(122880e0 / spread) + 2048) / 4096e0) AS INT) END AS h0,
                CASE WHEN v8 = 0 THEN 0
-                 ELSE CAST(floor(spread * 255e0 / v8 + 0.5e0) AS INT) END AS s8 FROM hs""",
+                 ELSE CAST(floor((spread * round(1044480e0 / v8) + 2048) / 4096e0) AS INT) END AS s8 FROM hs""",
         ),
         (
             "hsv",

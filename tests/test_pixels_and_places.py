@@ -150,3 +150,18 @@ def test_run_summary(spark):
     a, b = run_summary(maps, one, two).orderBy("map_id").collect()
     assert (a.n_points, a.n_coast, a.status) == (2, 1, "processed")
     assert (b.n_points, b.n_coast, b.status) == (0, 1, "skipped")
+
+
+def test_metadata_goes_to_points_and_cells_not_they_to_it(spark):
+    """No exchange on the few map keys, whatever the sizes the planner assumes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = spark.createDataFrame([(1, 1, 10.0, 5.0, 2.0), (1, 2, 12.0, 6.0, 3.0)], "map_id int, point_id long, lon double, lat double, value double")
+        meta = grid_meta(points, 1.0)
+        cells = spark.createDataFrame([(1, 0, 0, 1.0)], "map_id int, i int, j int, value double")
+        for df in (pixel_address(points, meta), flip_rows(cells, meta), override_cells(cells, point_pixels(points, meta))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning(map_id" not in plan.split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
