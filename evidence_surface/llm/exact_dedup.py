@@ -12,7 +12,6 @@ lose to any id); of repeated rows with that id one stays. Other columns do not m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -102,15 +101,12 @@ def equal_bytes(pairs: DataFrame, rows: int, docs: DataFrame, id_col: str, text_
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
-
-    The lower half of the ids is the snapshot, the upper half the new batch.
+    """One row per row of `docs`, whose ids are numbers: doc_id, keep_id, group_size, kept,
+    text_sha256. The lower half of the ids is the snapshot, the upper half the new batch.
     """
     rows = materialise(digests(docs, id_col, text_col), "digests")
-    middle = rows.agg(F.percentile_approx("doc_id", 0.5).alias("middle"))
-    rows = rows.crossJoin(F.broadcast(middle)).withColumn(  # one row
-        "old", F.coalesce(F.col("doc_id") <= F.col("middle"), F.lit(False))
-    )
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    rows = rows.withColumn("old", F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False)))
     batch = materialise(grouped(rows.where(~F.col("old"))), "batch_groups")
     snapshot = take_snapshot(rows.where("old"), batch.count())
     positive = screen(batch, snapshot).where("hit").select("sha", F.col("keep_id").alias("new_id"))
