@@ -104,7 +104,8 @@ def crowd_members(
         return None
     at = ["map_id", "lon", "lat"]
     left_out = points.select("map_id", "point_id", "lon", "lat", "value")
-    if index.full_locations <= broadcast_rows:
+    # a row of `crowds` holds up to as many points as the index keeps per location
+    if index.full_locations * index.per_location <= broadcast_rows:
         joined = left_out.join(F.broadcast(crowds), at)
     else:
         # a location may hold a large share of all points: spread it

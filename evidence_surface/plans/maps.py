@@ -95,16 +95,6 @@ def map_stats(
     )
 
 
-def map_idw(points: DataFrame, power: float, gradient_sharp: float = GRADIENT_SHARP, **options) -> DataFrame:
-    return map_stats(points, power, gradient_sharp, ("idw",), **options)
-
-
-def map_knn_idw(
-    points: DataFrame, power: float, gradient_sharp: float = GRADIENT_SHARP, **options
-) -> DataFrame:
-    return map_stats(points, power, gradient_sharp, ("knn_idw",), **options)
-
-
 def map_original(
     cells: DataFrame,
     points: DataFrame,

@@ -57,8 +57,10 @@ def by_age(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def surface(spark, sf_dir, resolution=COARSE) -> DataFrame:
-    return idw.idw_surface(views.points(spark, sf_dir), resolution, POWER, NEIGHBOURS, True, RADIUS)
+def surface(spark, sf_dir, resolution=COARSE, of: str = "true") -> DataFrame:
+    """Surfaces of the maps that `of` is true of."""
+    points = views.points(spark, sf_dir).where(of)
+    return idw.idw_surface(points, resolution, POWER, NEIGHBOURS, True, RADIUS)
 
 
 def age_of_base(df: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def _stored_originals(spark, sf_dir) -> str:
     name = F.when(age % 15 == 5, F.concat(age.cast("string"), F.lit("_ma_idw"))).when(
         age % 15 == 10, F.concat(age.cast("string"), F.lit("_idw"))
     )
-    stored = surface(spark, sf_dir).withColumn("raster", name).where(F.col("raster").isNotNull())
+    stored = surface(spark, sf_dir, of="map_id % 15 <> 0").withColumn("raster", name)
     cell_store.write_cells(stored.select("raster", "i", "j", "lon", "lat", "value"), path, ("raster",))
     return path
 
