@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from evidence_surface.llm.fuse import mix
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
