@@ -1,6 +1,29 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
 ORACLES = {
+    "op3_line_dedup": r"""
+WITH p AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+  SELECT doc_id, i, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS unit
+  FROM p, unnest(range(1, len(parts) + 1)) t(i)
+), w AS (
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+    CAST(coalesce(sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM l
+), r AS (
+  SELECT *, len(string_split(norm, ' ')) >= 8
+    AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone FROM w
+)
+SELECT doc_id, count(*) FILTER (gone) AS n_spans,
+  CAST(coalesce(sum(strlen(unit)) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  '[' || coalesce(string_agg('{"start":' || start || ',"stop":' || (start + strlen(unit)) || '}', ',' ORDER BY i)
+    FILTER (gone), '') || ']' AS spans,
+  sha256(coalesce(string_agg(unit, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+""",
     "op5_warc": """
 WITH t AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
@@ -16,6 +39,28 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM t JOIN g USING (h) JOIN d USING (h)
+""",
+    "op9_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), b AS (  -- a row per byte: its string of 50 bytes, if there are so many
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN i + 50 <= n THEN md5(substr(h, 2 * i + 1, 100)) END AS s
+  FROM d, unnest(range(n)) t(i)
+), m AS (
+  SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT doc_id, i, byte, coalesce(max(CASE WHEN m.first < doc_id THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM b LEFT JOIN m USING (s)
+), g AS (
+  SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM c
+), r AS (
+  SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
 """,
     "op7_exact_dedup": r"""
 WITH t AS (
