@@ -2,8 +2,9 @@
 earliest stays, in the order of document id, then place; the others are cut out.
 
 A unit is normalised before hashing: ASCII letters in lower case, white space runs as one
-space. Units of fewer than `least_words` words are left alone. Spans are byte offsets in the
-original UTF-8 text and hold the unit with the line ends after it.
+space. Every unit with a word counts, unless a larger `least_words` is given: units of fewer
+words are then left alone. Spans are byte offsets in the original UTF-8 text and hold the unit
+with the line ends after it.
 
 Only (digest, id, place) rows are shuffled to find the first occurrences; a digest's rows are
 reduced to one per task before that. The join back is an ordinary one on the digest, so a
@@ -25,7 +26,7 @@ from evidence_surface.llm.common import materialise
 from evidence_surface.llm.fuse import mix
 from evidence_surface.llm.words import Words, run_hashes, slices, words
 
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 _NEWLINE = 10
 
 

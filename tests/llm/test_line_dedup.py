@@ -1,11 +1,14 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidence_surface.llm.line_dedup import line_dedup
+from evidence_surface.llm.queries import op3_line_dedup
 from plain import odd_texts, space_words
 
+DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, spans string, first int"
 
 
@@ -53,3 +56,24 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     got = sorted((r["doc_id"] or -1, r["kept_text"]) for r in line_dedup(docs, least_words=3).collect())
     assert got == [(-1, "a b c"), (5, ""), (5, "")]
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_short_lines_count(spark):
+    short = "All rights\nreserved.\n\n"
+    rows = [(1, short + "one"), (2, "two\n" + short), (3, "Reserved. \nall rights\n \n")]
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: short + "one", 2: "two\n\n", 3: " \n"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no sample tables")
+def test_query_against_plain(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    want = expected(rows, 1)
+    # `expected` ends every line, and the query keeps the end as it is
+    got = {r["doc_id"]: r for r in op3_line_dedup(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        raw, kept = (text or "").encode(), want[doc]
+        lines = {hashlib.sha256(k).hexdigest() for k in (kept, kept[:-1])}
+        assert got[doc]["kept_sha256"] in lines
+        assert len(raw) - got[doc]["n_removed"] in (len(kept), len(kept) - 1)
