@@ -17,8 +17,14 @@ equal sample at an equal distance, so no match is lost. Rounds:
    Spark sorts (rank, id), and the strings of `threshold` bytes around each are compared.
 
 Whole copies of a text take no part beyond their first. Rows with a context that is also in an
-earlier document of the same batch skip the sort, so a passage of a third of all documents does
-not meet in one task.
+earlier document of the same batch skip the sort, so the inner samples of a passage of a third of
+all documents do not meet in one task. Samples near its edges have contexts of their own in each
+document, so ranks of more than HOT_ROWS rows are dealt otherwise: in round 1 (where a share of
+the documents tells which they are) by rank and context, all of the first with a context going
+on; in round 2 (where they are counted) as a row per string of `threshold` bytes, dealt by key
+and string, without those that an earlier document of the same batch has. No task gets more of
+such a string than a row per batch, and none keeps the strings of a key. Which ranks are dealt so
+does not change the result.
 
 Defined results: null text is empty; texts shorter than `threshold` bytes are kept whole; null
 ids come after all others; documents of equal id do not cut each other. Other columns do not matter.
@@ -37,10 +43,12 @@ from evidence_surface.llm.common import bounded_side, materialise
 from evidence_surface.llm.suffix_ranks import (
     BASE,
     ContextStream,
+    FirstStream,
     WindowStream,
     anchors,
     base_ranks,
     joined,
+    later,
     longer,
     padded,
     paired,
@@ -50,7 +58,10 @@ from evidence_surface.llm.words import buffers, slices
 
 THRESHOLD = 50
 LENGTH = 20
+HOT_ROWS = 10_000
+HOT_SHARE = 64  # one document in so many is read for ranks of more than HOT_ROWS rows
 _SLICE = 2 << 20
+_PLAIN, _SETTLED, _HOT = range(3)
 _LAST = (1 << 63) - 1
 
 
@@ -91,7 +102,8 @@ def _column(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
-def _samples(batches: Iterator[pa.RecordBatch], threshold: int, length: int) -> Iterator[pa.RecordBatch]:
+def _samples(batches: Iterator[pa.RecordBatch], threshold: int, length: int, hot=None) -> Iterator[pa.RecordBatch]:
+    hot_ranks = np.zeros(0, np.uint64) if hot is None else hot.value
     reach = threshold - length
     for whole in batches:
         for batch in slices(whole, "body", _SLICE):
@@ -101,28 +113,27 @@ def _samples(batches: Iterator[pa.RecordBatch], threshold: int, length: int) ->
             doc = batch.column("doc").to_numpy()[row]
             part = batch.column("part").to_numpy()[row]
             # in an earlier document of the batch: settled; its row is dealt out by itself
-            order = np.lexsort((doc, context, rank))
-            start = np.ones(len(order), bool)
-            start[1:] = (rank[order][1:] != rank[order][:-1]) | (context[order][1:] != context[order][:-1])
-            first = doc[order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
-            settled = np.zeros(len(order), bool)
-            settled[order] = doc[order] > first
+            settled = later(rank, context, doc)
             place = at - texts.first[row]
+            kind = np.where(settled, _SETTLED, np.where(np.isin(rank, hot_ranks), _HOT, _PLAIN))
             rank = np.where(settled, paired(doc.astype(np.uint64), place.astype(np.uint64)), rank)
             yield pa.RecordBatch.from_arrays(
-                [_column(rank), _column(context), pa.array(doc), pa.array(part, pa.int32()), pa.array(place, pa.int32()), pa.array(settled)],
-                names=["rank", "context", "doc", "part", "at", "settled"],
+                [_column(rank), _column(context), pa.array(doc), pa.array(part, pa.int32()), pa.array(place, pa.int32()), pa.array(kind, pa.int8())],
+                names=["rank", "context", "doc", "part", "at", "kind"],
             )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sorted samples: covered ones, and open ones with their rank."""
-    stream = ContextStream()
+    stream, hot_stream = ContextStream(), FirstStream()
     for batch in batches:
-        settled = batch.column("settled").to_numpy(zero_copy_only=False)
+        kind = batch.column("kind").to_numpy()
+        settled, hot, free = kind == _SETTLED, kind == _HOT, kind == _PLAIN
         rank, context, doc, part, at = (batch.column(c).to_numpy() for c in ("rank", "context", "doc", "part", "at"))
-        free = ~settled
         out = [(np.zeros(settled.sum(), np.int64), doc[settled], part[settled], at[settled], np.zeros(settled.sum(), bool))]
+        if hot.any():
+            behind = hot_stream.feed(rank[hot], context[hot], doc[hot])
+            out.append((rank[hot], doc[hot], part[hot], at[hot], ~behind))
         if free.any():
             rank, context, doc, part, at = (x[free] for x in (rank, context, doc, part, at))
             covered, rows = stream.feed(rank, context, doc, part, at)
@@ -168,24 +179,29 @@ def _sides(batches: Iterator[pa.RecordBatch], threshold: int, length: int) -> It
                 )
 
 
+def _windows(batch: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places): rank of the string of `threshold` bytes at each place of the rows of `_sides`,
+    and whether it is inside the text."""
+    raw, offsets = buffers(batch.column("around"))
+    sizes = np.diff(offsets) // 2
+    width = int(sizes.max())
+    values = np.zeros((len(sizes), width), np.uint16)
+    filled = np.arange(width) < sizes[:, None]
+    values[filled] = raw.view("<u2")
+    ranks = base_ranks(values)
+    places = width - threshold + 1
+    windows = np.stack([longer(ranks, np.array([p]), threshold)[:, 0] for p in range(places)], axis=1)
+    gaps = np.concatenate([np.zeros((len(sizes), 1), np.int64), np.cumsum(values == 0, axis=1)], axis=1)
+    return windows, gaps[:, threshold:] == gaps[:, :places]
+
+
 def _matches(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and id: spans of strings that an earlier document holds."""
     stream = WindowStream()
     for whole in batches:
         for batch in slices(whole, "around", _SLICE):
-            raw, offsets = buffers(batch.column("around"))
-            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
-            start, part = batch.column("start").to_numpy(), batch.column("part").to_numpy()
-            sizes = np.diff(offsets) // 2
-            width = int(sizes.max())
-            values = np.zeros((len(key), width), np.uint16)
-            filled = np.arange(width) < sizes[:, None]
-            values[filled] = raw.view("<u2")
-            ranks = base_ranks(values)
-            places = width - threshold + 1
-            windows = np.stack([longer(ranks, np.array([p]), threshold)[:, 0] for p in range(places)], axis=1)
-            gaps = np.concatenate([np.zeros((len(key), 1), np.int64), np.cumsum(values == 0, axis=1)], axis=1)
-            real = gaps[:, threshold:] == gaps[:, :places]
+            windows, real = _windows(batch, threshold)
+            key, doc, part, start = (batch.column(c).to_numpy() for c in ("key", "doc", "part", "start"))
             row, first, last = runs(stream.feed(key, doc, windows, real))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[row]), pa.array(part[row]), pa.array(start[row] + first), pa.array(start[row] + last + threshold)],
@@ -193,6 +209,46 @@ def _matches(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
             )
 
 
+def _strings(batches: Iterator[pa.RecordBatch], threshold: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Of each side of open samples a row per string of `threshold` bytes around it. Strings that
+    an earlier document of the batch has are settled: runs of them are a row, dealt out by itself."""
+    for whole in _sides(batches, threshold, length):
+        for batch in slices(whole, "around", _SLICE):
+            windows, real = _windows(batch, threshold)
+            key, doc, part, start = (batch.column(c).to_numpy() for c in ("key", "doc", "part", "start"))
+            row, place = np.nonzero(real)
+            behind = later(key[row], windows[row, place], doc[row])
+            mask = np.zeros(real.shape, bool)
+            mask[row, place] = behind
+            done, first, last = runs(mask)
+            row, place = row[~behind], place[~behind]
+            lone = paired(doc[done].astype(np.uint64), (start[done] + first).astype(np.uint64)).view(np.int64)
+            both = np.concatenate([row, done])
+            begin = start[both] + np.concatenate([place, first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key[row], lone])),
+                    _column(np.concatenate([windows[row, place], np.zeros(len(done), np.uint64)])),
+                    pa.array(doc[both]),
+                    pa.array(part[both]),
+                    pa.array(begin),
+                    pa.array(begin + np.concatenate([np.zeros(len(row), np.int64), last - first]) + threshold),
+                    pa.array(np.arange(len(both)) >= len(row)),
+                ],
+                names=["key", "name", "doc", "part", "start", "stop", "settled"],
+            )
+
+
+def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From strings sorted by key, name and id: the spans of those that an earlier document holds."""
+    stream = FirstStream()
+    for batch in batches:
+        out = batch.column("settled").to_numpy(zero_copy_only=False).copy()
+        free = ~out
+        out[free] = stream.feed(*(batch.column(c).to_numpy()[free] for c in ("key", "name", "doc")))
+        yield batch.select(["doc", "part", "start", "stop"]).filter(pa.array(out))
+
+
 _SPANS = "array<struct<start:long,stop:long>>"
 
 
@@ -209,25 +265,47 @@ def repeated_spans(
     copies = texts.where("copy").select("doc", "sha")
     numbered = _with_part(keyed, texts)
     alone = numbered.join(bounded_side(copies, copies.count()), ["doc", "sha"], "left_anti")
-    samples = alone.select("doc", "part", "body").mapInArrow(
-        lambda b: _samples(b, threshold, length), "rank long, context long, doc long, part int, at int, settled boolean"
-    )
+    bodies, kind = alone.select("doc", "part", "body"), "rank long, context long, doc long, part int, at int, kind byte"
+    few = bodies.where(F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(HOT_SHARE)) == 0)
+    counts = few.mapInArrow(lambda b: _samples(b, threshold, length), kind).where(F.col("kind") == _PLAIN).groupBy("rank").count()
+    crowded = counts.where(F.col("count") * HOT_SHARE > HOT_ROWS).select("rank").collect()
+    hot = docs.sparkSession.sparkContext.broadcast(np.array([r["rank"] for r in crowded], np.int64).view(np.uint64))
+    samples = bodies.mapInArrow(lambda b: _samples(b, threshold, length, hot), kind)
+    deal = F.when(F.col("kind") == _HOT, F.xxhash64("rank", "context")).otherwise(F.col("rank"))
     ranked = materialise(
-        samples.repartition("rank")
+        samples.repartition(deal)
         .sortWithinPartitions("rank", "context", "doc")
         .mapInArrow(_contexts, "rank long, doc long, part int, at int, open boolean"),
         "ranked",
     )
-    waiting = ranked.where("open").groupBy("doc", "part").agg(F.collect_list(F.struct("rank", "at")).alias("open"))
-    sides = numbered.select("doc", "part", "body").join(waiting.hint("shuffle_hash"), ["doc", "part"]).mapInArrow(
-        lambda b: _sides(b, threshold, length), "key long, doc long, part int, start long, around binary"
-    )
+    opened = ranked.where("open").drop("open")
+    crowds = materialise(opened.groupBy("rank").count().where(F.col("count") > HOT_ROWS).select("rank"), "crowds")
+    n = crowds.count()
+
+    def waiting(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("doc", "part").agg(F.collect_list(F.struct("rank", "at")).alias("open"))
+        return numbered.select("doc", "part", "body").join(lists.hint("shuffle_hash"), ["doc", "part"])
+
+    plain = opened.join(bounded_side(crowds, n), "rank", "left_anti") if n else opened
     found = materialise(
-        sides.repartition("key")
+        waiting(plain)
+        .mapInArrow(lambda b: _sides(b, threshold, length), "key long, doc long, part int, start long, around binary")
+        .repartition("key")
         .sortWithinPartitions("key", "doc")
         .mapInArrow(lambda b: _matches(b, threshold), "doc long, part int, start long, stop long"),
         "matches",
     )
+    if n:
+        strings = waiting(opened.join(bounded_side(crowds, n), "rank", "left_semi")).mapInArrow(
+            lambda b: _strings(b, threshold, length),
+            "key long, name long, doc long, part int, start long, stop long, settled boolean",
+        )
+        more = (
+            strings.repartition("key", "name")
+            .sortWithinPartitions("key", "name", "doc")
+            .mapInArrow(_later_strings, "doc long, part int, start long, stop long")
+        )
+        found = found.unionByName(materialise(more, "crowded_matches"))
     reach = threshold - length
     covered = ranked.where("NOT open").select(
         "doc", "part", (F.col("at") - reach).cast("long").alias("start"), (F.col("at") + threshold).cast("long").alias("stop")

@@ -172,6 +172,35 @@ class WindowStream:
         return covered
 
 
+def later(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows, in any order, share (one, two) with a row of an earlier document."""
+    order = np.lexsort((doc, two, one))
+    out = np.zeros(len(order), bool)
+    out[order] = FirstStream().feed(one[order], two[order], doc[order])
+    return out
+
+
+class FirstStream:
+    """Rows sorted by (one, two, doc) in any number of batches; `feed` says which share (one, two)
+    with a row of an earlier document. The state is a single row, however many rows a group has."""
+
+    def __init__(self):
+        self.last = None
+
+    def feed(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        if not len(doc):
+            return np.zeros(0, bool)
+        carried = 0
+        if self.last is not None:
+            one, two, doc = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(self.last, (one, two, doc)))
+            carried = 1
+        start = np.ones(len(doc), bool)
+        start[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        first = doc[np.maximum.accumulate(np.where(start, np.arange(len(doc)), 0))]
+        self.last = (one[-1], two[-1], first[-1])
+        return (doc > first)[carried:]
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last) of the runs of true places in each row."""
     padded_ = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)

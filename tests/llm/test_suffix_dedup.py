@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from evidence_surface.llm import suffix_dedup as s
-from evidence_surface.llm.suffix_ranks import ContextStream, joined
+from evidence_surface.llm.suffix_ranks import ContextStream, FirstStream, joined
 from plain import odd_texts
 
 SCHEMA = "doc_id long, text string, doc string, kept int"
@@ -108,3 +108,58 @@ def test_context_stream_is_the_same_in_any_batches():
 def test_joined():
     a, b = joined(np.array([5, 0, 7, 20]), np.array([8, 3, 9, 21]))
     assert a.tolist() == [0, 5, 20] and b.tolist() == [3, 9, 21]
+
+
+@pytest.mark.parametrize("share,batch", [(1, 10_000), (1, 5), (10_000, 7)])
+def test_crowded_ranks(spark, monkeypatch, share, batch):
+    """The same result if ranks are dealt by context and by string."""
+    monkeypatch.setattr(s, "HOT_ROWS", 8)
+    monkeypatch.setattr(s, "HOT_SHARE", share)
+    texts = corpus(5) + [f"{i * 7919:040d} in front, then the passage all of them hold, of ninety bytes or so, and then {i * 104729:040d}" for i in range(60)]
+    rng = random.Random(2)
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = by_row(s.suffix_dedup(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert got == sorted((str(i), *w) for (i, _), w in zip(rows, expected(rows, 50)))
+
+
+def test_crowded_key_is_not_kept_by_one_task(spark, monkeypatch):
+    """Documents that share a passage with own bytes around it: none of its keys goes to WindowStream."""
+    monkeypatch.setattr(s, "HOT_ROWS", 8)
+    plain = s._matches
+    texts = [f"{i * 7919:040d} in front, then the passage all of them hold, of ninety bytes or so, and then {i * 104729:040d}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    most = spark.sparkContext.accumulator(0)
+
+    def watched(batches, threshold):
+        def seen():
+            for b in batches:
+                most.add(b.num_rows)
+                yield b
+
+        yield from plain(seen(), threshold)
+
+    monkeypatch.setattr(s, "_matches", watched)
+    got = by_row(s.suffix_dedup(docs).collect())
+    assert got == sorted((str(i), *w) for (i, _), w in zip(enumerate(texts), expected(list(enumerate(texts)), 50)))
+    assert sum(len(r[2]) for r in got) == 59
+    assert most.value < 60, "rows of a crowded key went to the task that keeps a key's strings"
+
+
+def test_first_stream_is_the_same_in_any_batches():
+    rng = np.random.default_rng(3)
+    rows = np.stack([rng.integers(0, 9, 300), rng.integers(0, 3, 300), rng.integers(0, 6, 300)])
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+
+    def run(size):
+        stream = FirstStream()
+        return np.concatenate([stream.feed(*rows[:, a : a + size]) for a in range(0, 300, size)]).tolist()
+
+    least = {}
+    for a, b, d in rows.T.tolist():
+        least[a, b] = min(least.get((a, b), d), d)
+    assert run(300) == run(1) == run(7) == [d > least[a, b] for a, b, d in rows.T.tolist()]
