@@ -5,7 +5,8 @@ tokens of a document overlaps a benchmark item if it equals a window of the item
 at most MOST_SUBSTITUTED places. The masks of `masks()` each ignore half of the places and
 are laid out so that every such pair of windows agrees on all kept places of at least one
 mask: hits of any mask are candidates, and each is verified token by token. Items shorter
-than SPAN overlap where they occur as a whole.
+than SPAN are one window with masks of their length and a tolerance in proportion: one
+substitution from 6 tokens on, none below.
 
 Test items are a query set that is met in blocks of at most SEEDS_PER_BLOCK hashes, each
 sent to the tasks that read the documents; documents are never shuffled. Every block is
@@ -46,6 +47,10 @@ def masks(span: int = SPAN, substituted: int = MOST_SUBSTITUTED) -> list[list[in
     ]
 
 
+def most_substituted(length: int) -> int:
+    return MOST_SUBSTITUTED * length // SPAN
+
+
 def _weights(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -73,7 +78,8 @@ class Seeds:
         for kept in masks():
             self._add(SPAN, kept, _window_starts(self.words, SPAN))
         for short in sorted({int(c) for c in counts if 0 < c < SPAN}):
-            self._add(short, list(range(short)), self.words.first[:-1][counts == short])
+            for kept in masks(short, most_substituted(short)):
+                self._add(short, kept, self.words.first[:-1][counts == short])
 
     def _add(self, length: int, kept: list[int], starts: np.ndarray) -> None:
         if len(starts):
@@ -102,7 +108,7 @@ class Seeds:
                 place = places[np.repeat(low[which], many[which]) + ragged(many[which])]
                 steps = np.arange(length)
                 equal = (w.hashes[at[:, None] + steps] == self.words.hashes[place[:, None] + steps]).sum(axis=1)
-                ok = equal >= length - (MOST_SUBSTITUTED if length == SPAN else 0)
+                ok = equal >= length - most_substituted(length)
                 found.append(np.unique(np.stack([at[ok], np.searchsorted(self.words.first, place[ok], "right") - 1]), axis=1))
         if not found:
             return (np.zeros(0, np.int64),) * 3
@@ -138,8 +144,9 @@ def _scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the items, a bounded block at a time."""
+    """Ids and texts of the items, each pair once, a bounded block at a time."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items = materialise(items.distinct(), "items")
     # a token and the gap after it take two bytes at least
     seeds = items.agg(F.sum(F.octet_length("text") / 2 * len(masks()))).first()[0] or 0
     blocks = int(seeds // SEEDS_PER_BLOCK) + 1

@@ -63,3 +63,36 @@ def test_repeats_and_empty_tables(spark):
     assert [r["item_ids"] for r in d.decontaminate(docs, benchmark).collect()] == [[7, 8]] * 3
     assert [r["item_ids"] for r in d.decontaminate(docs, benchmark.limit(0)).collect()] == [[]] * 3
     assert d.decontaminate(docs.limit(0), benchmark).count() == 0
+
+
+def test_every_short_window_meets_a_mask():
+    from itertools import combinations
+
+    assert [d.most_substituted(n) for n in (1, 5, 6, 11, 12)] == [0, 0, 1, 1, 2]
+    for n in range(1, d.SPAN):
+        for places in combinations(range(n), d.most_substituted(n)):
+            assert any(not set(places) & set(kept) for kept in d.masks(n, d.most_substituted(n)))
+
+
+def test_short_items_with_a_substitution(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 12)]
+    docs, want = [], {}
+    for n, item in items:
+        for most in range(3):
+            for at in range(n):
+                words = item.split()
+                for k in range(most):
+                    words[(at + k) % n] = "other"
+                want[len(docs)] = [n] if words.count("other") <= (n >= 6) else []
+                docs.append((len(docs), "before it " + " ".join(words) + " after it"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in rows} == want
+    assert all(r["windows"] == ([2] if want[r["doc_id"]] else []) for r in rows)
+
+
+def test_repeated_items_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(d, "SEEDS_PER_BLOCK", 500)
+    benchmark = spark.createDataFrame([(i % 3, f"item {i % 3} of the benchmark") for i in range(300)], "item_id long, text string")
+    blocks = list(d._blocks(benchmark, "item_id", "text"))
+    assert sorted(i for ids, _ in blocks for i in ids) == [0, 1, 2]
