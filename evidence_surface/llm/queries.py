@@ -11,6 +11,7 @@ from evidence_surface.llm.jaccard_join import jaccard_classes
 from evidence_surface.llm.language import predict_language
 from evidence_surface.llm.line_dedup import line_dedup
 from evidence_surface.llm.packing import pack
+from evidence_surface.llm.periodic_runs import greatest_run, periodic_runs, planted_repeats, run_lines
 from evidence_surface.llm.quality import quality_filter
 from evidence_surface.llm.suffix_dedup import suffix_dedup
 from evidence_surface.llm.url_filters import filter_urls
@@ -94,6 +95,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", planted_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    rows = periodic_runs(docs).withColumn("best", greatest_run(F.col("runs")))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
@@ -105,4 +122,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
 }
