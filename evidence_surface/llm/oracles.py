@@ -71,5 +71,41 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM t JOIN g USING (text_sha256)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), o AS (
+  SELECT doc, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), c AS (
+  SELECT doc, lang, source, term, count(*) AS n FROM o GROUP BY ALL
+), k AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING count(*) >= 3
+), v AS (
+  SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang
+), s AS (
+  SELECT lang, source, term, CAST(sum(c.n) AS HUGEINT) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source)
+  GROUP BY ALL
+), p AS (  -- every group and kept term
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, 1 + 1000000000 * (coalesce(s.n, 0) + 1) // (g.n + v.v) AS p,
+    1 + 1000000000 * (k.n + 1) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  JOIN v ON v.lang = a.lang WHERE v.v = 0
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), w AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+)
+SELECT * FROM w WHERE part = 'pair' OR rank <= 200
 """,
 }

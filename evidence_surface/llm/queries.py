@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_surface.llm.common import table
 from evidence_surface.llm.decontamination import decontaminate
+from evidence_surface.llm.divergence import divergence
 from evidence_surface.llm.exact_dedup import exact_dedup
 from evidence_surface.llm.jaccard_join import jaccard_classes
 from evidence_surface.llm.language import predict_language
@@ -111,6 +112,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
@@ -123,4 +128,5 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
 }
