@@ -11,6 +11,7 @@ from evidence_surface.llm.exact_dedup import exact_dedup
 from evidence_surface.llm.jaccard_join import jaccard_classes
 from evidence_surface.llm.language import predict_language
 from evidence_surface.llm.line_dedup import line_dedup
+from evidence_surface.llm.metric_tree import top_k
 from evidence_surface.llm.packing import pack
 from evidence_surface.llm.periodic_runs import greatest_run, periodic_runs, planted_repeats, run_lines
 from evidence_surface.llm.quality import quality_filter
@@ -116,6 +117,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
@@ -129,4 +134,5 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
+    "op13_exact_top_k": op13_exact_top_k,
 }
