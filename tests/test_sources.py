@@ -105,6 +105,79 @@ def test_broken_document_is_an_error(spark, tmp_path):
         geojson.read_features(spark, str(tmp_path)).collect()
 
 
+HARD = {
+    "type": "FeatureCollection",
+    "name": 'a } brace, a \\ and a " quote } features": [',
+    "crs": {"type": "name", "properties": {"name": "x}", "more": {"deep": [{"a": [{"b": 1}]}]}}},
+    "bbox": [1, 2, 3, 4],
+    "others": [{"type": "Feature", "properties": {"NAME": "not one"}}, [[{"x": {"y": 2}}], 3], {}],
+    "features": [
+        feature("Point", [i / 4, -i], NAME=f'{{"n": "é}}{i}\\\\"', Formation='"features": [', TIME=i)
+        | {"id": {"of": [{"k": i}, {"k": "}" * (i % 5)}]}}
+        for i in range(30)
+    ],
+    "after": [{"type": "Feature"}, {"features": [{"type": "Feature"}]}],
+}
+
+
+def plain_rows(folder):
+    """map_id, is_coast, position, type, coordinates, name of every feature, by a whole parse."""
+    out = []
+    for file in folder.glob("*.geojson"):
+        stem = file.name.removesuffix(".geojson")
+        for i, f in enumerate(json.loads(file.read_text())["features"]):
+            g = f.get("geometry") or {}
+            at = json.dumps(g["coordinates"], separators=(",", ":")) if "coordinates" in g else None
+            out.append((stem.removesuffix("_costa"), stem.endswith("_costa"), i, g.get("type"), at, f["properties"].get("NAME")))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("split, chunk", [("3000b", 1), ("16m", 300), ("16m", 1 << 20)])
+def test_ranges_and_chunks_do_not_matter(spark, tmp_path, split, chunk):
+    long = feature("LineString", [[i % 180, i % 90] for i in range(2000)], NAME="long")
+    (tmp_path / "5_ma.geojson").write_text(json.dumps(HARD, indent=2, ensure_ascii=False))
+    (tmp_path / "6_ma.geojson").write_text(json.dumps(HARD, separators=(",", ":")) + "  \n\n")
+    (tmp_path / "5_ma_costa.geojson").write_text(json.dumps({"features": [long, long | {"bbox": [1, 2]}]}) + "\n")
+    (tmp_path / "7_ma.geojson").write_text('{"features": []}')
+    (tmp_path / "8_ma.geojson").write_text('{"type": "FeatureCollection", "crs": null}')
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = geojson.read_features(spark, str(tmp_path), chunk_bytes=chunk).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = sorted(((r.map_id, r.is_coast, r.point_id, r.type, r.coordinates, r.name) for r in rows), key=str)
+    (tmp_path / "8_ma.geojson").unlink()  # it has no features to list
+    assert got == plain_rows(tmp_path)
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    document = {"features": [feature("Point", [i, 0], NAME=str(i)) for i in range(5000)]}
+    (tmp_path / "9_ma.geojson").write_text(json.dumps(document))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        chunks = geojson._chunks(spark, str(tmp_path), 1 << 20, 100)
+        assert chunks.select("block").distinct().count() >= 8
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_elements_that_are_no_objects(spark, tmp_path):
+    one = json.dumps(feature("Point", [1, 2], NAME="a"))
+    (tmp_path / "1_ma.geojson").write_text(f'{{"features": [null, {one}, 3, "x, {{", [4, 5], {one}]}}')
+    assert sorted(r.point_id for r in geojson.read_features(spark, str(tmp_path)).collect()) == [1, 5]
+
+
+@pytest.mark.parametrize("text", ['[{"features": []}]', '{"features": [{"a": "}', '{"features": [{"properties": {}}', "null"])
+def test_no_complete_object(spark, tmp_path, text):
+    (tmp_path / "1_ma.geojson").write_text(text)
+    with pytest.raises(ValueError):
+        geojson.read_features(spark, str(tmp_path))
+
+
 def test_cells_by_map_and_replacement(spark, tmp_path):
     path = str(tmp_path / "cells")
     schema = "method string, map_id int, i int, j int, value double"
