@@ -29,9 +29,10 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidence_surface.llm.common import materialise
+from evidence_surface.llm.common import bounded_side, materialise
 
 SPLIT_BYTES = 32 << 20
+RANGES_PER_CORE = 64  # tasks at most; beyond that a task reads several ranges
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -103,6 +104,8 @@ def write_warc(rows: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     first = F.max(F.struct("id", "record_id"))
     repeated = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(first.alias("first"), F.count("*").alias("rows"))
     repeated = materialise(repeated.where("rows > 1").drop("rows"), "repeated")
+    # payloads are shuffled only if more digests repeat than are ever broadcast
+    repeated = bounded_side(repeated, repeated.count())
     response = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id"))
     records = rows.join(repeated, "digest", "left").select(
         "record_id",
@@ -260,7 +263,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
     splits = files.select("path", "bytes", F.explode(starts).alias("start")).select(
         "path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop")
     )
-    return splits.repartition("path", "start").mapInArrow(
+    # a number of its own: the rows are small, and would be merged into few tasks by their size
+    tasks = min(splits.count(), RANGES_PER_CORE * files.sparkSession.sparkContext.defaultParallelism)
+    return splits.repartition(max(tasks, 1)).mapInArrow(
         lambda b: _read(b, with_payload),
         "path string, offset long, record_type string, record_id string, refers_to string, url string, "
         "payload_digest string, payload_bytes long, payload binary",

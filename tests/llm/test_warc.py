@@ -7,6 +7,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from evidence_surface.llm import warc
 from plain import odd_texts
 
@@ -62,3 +64,20 @@ def test_members_are_plain_gzip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     files = warc.write_warc(spark.createDataFrame([], SCHEMA), str(tmp_path / "w"))
     assert warc.read_warc(files).count() == 0
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """Adaptive execution would merge the ranges, which are small rows, into one task."""
+    files = warc.write_warc(spark.createDataFrame(rows(), SCHEMA).coalesce(1), str(tmp_path / "w"))
+    read = warc.read_warc(files, split_bytes=-(-files.first()["bytes"] // 8))
+    assert read.select(F.spark_partition_id()).distinct().count() >= 7
+
+
+def test_large_payloads_and_headers(spark, tmp_path):
+    """A payload beyond a batch, a header beyond one step of the reader."""
+    long = bytes(range(256)) * 40_000
+    data = [(1, "urn:x:1", "http://a/" + "é" * 60_000, long, "q", 1), (2, "urn:x:2", None, long + b"!", "q", 1), (3, "urn:x:3", None, long, "q", 1)]
+    files = warc.write_warc(spark.createDataFrame(data, SCHEMA), str(tmp_path / "w"))
+    got = {r["record_id"]: r for r in warc.read_warc(files, split_bytes=10_000).collect()}
+    assert bytes(got["urn:x:3"]["payload"]) == long and bytes(got["urn:x:2"]["payload"]) == long + b"!"
+    assert got["urn:x:1"]["refers_to"] == "urn:x:3" and got["urn:x:1"]["url"] == data[0][2]
