@@ -1,6 +1,12 @@
-"""Substring dedup by hashing lines (or paragraphs): of equal units in the whole table the
+"""Substring dedup by hashing units of text: of equal units in the whole table the
 earliest stays, in the order of document id, then place; the others are cut out.
 
+Units are lines, paragraphs, or sentences of lines. A sentence ends with a word that ends in
+`.`, `!` or `?`; sentences join the next one of their line until they have
+`JOINED_WORDS` words together, and what is left at a line's end joins the unit before it. So
+every word is in a unit, a short line is one, and a passage that begins or ends inside a line
+is met by the sentences that it holds whole.
+
 A unit is normalised before hashing: ASCII letters in lower case, white space runs as one
 space. Every unit with a word counts, unless a larger `least_words` is given: units of fewer
 words are then left alone. Spans are byte offsets in the original UTF-8 text and hold the unit
@@ -27,13 +33,39 @@ from evidence_surface.llm.fuse import mix
 from evidence_surface.llm.words import Words, run_hashes, slices, words
 
 LEAST_WORDS = 1
+JOINED_WORDS = 8
+UNITS = ("line", "paragraph", "sentence")
 _NEWLINE = 10
-
-
-def _unit_edges(w: Words, paragraphs: bool) -> np.ndarray:
+_SENTENCE_END = np.zeros(256, bool)
+_SENTENCE_END[[*b".!?"]] = True
+
+
+def _sentence_edges(w: Words, lines: np.ndarray) -> np.ndarray:
+    """Starts of the sentences that begin units inside lines, which start at `lines`."""
+    first = np.searchsorted(w.starts, lines)  # word that each line starts with
+    ends = np.flatnonzero(_SENTENCE_END[w.data[w.ends - 1]]) + 1
+    line = np.searchsorted(first, ends, "right") - 1
+    inner = first[line] < ends  # the next word is in the same line
+    ends, line = ends[inner], line[inner]
+    ends, line = ends[ends < len(w.starts)], line[ends < len(w.starts)]
+    chosen, held, of = [], 0, -1
+    after = np.append(first[1:], len(w.starts))
+    for word, own, begin, stop in zip(ends.tolist(), line.tolist(), first[line].tolist(), after[line].tolist()):
+        if own != of:
+            held, of = begin, own
+        if word - held >= JOINED_WORDS and stop - word >= JOINED_WORDS:
+            chosen.append(word)
+            held = word
+    return w.starts[chosen] if chosen else w.starts[:0]
+
+
+def _unit_edges(w: Words, unit: str) -> np.ndarray:
     """Byte offsets where units start, with the end of the data."""
     newline = w.data == _NEWLINE
-    if paragraphs:  # a unit ends after the last of two or more newlines
+    if unit == "sentence":
+        lines = np.unique(np.concatenate([w.offsets, np.flatnonzero(newline) + 1]))
+        return np.union1d(lines, _sentence_edges(w, lines[:-1]))
+    if unit == "paragraph":  # a unit ends after the last of two or more newlines
         two = np.zeros(len(newline), bool)
         two[1:] = newline[1:] & newline[:-1]
         following = np.append(newline[1:], False)
@@ -41,11 +73,11 @@ def _unit_edges(w: Words, paragraphs: bool) -> np.ndarray:
     return np.unique(np.concatenate([w.offsets, np.flatnonzero(newline) + 1]))
 
 
-def _units(batches: Iterator[pa.RecordBatch], least_words: int, paragraphs: bool) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], least_words: int, unit: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             w = words(batch.column("text"))
-            edges = _unit_edges(w, paragraphs)
+            edges = _unit_edges(w, unit)
             first = np.searchsorted(w.starts, edges)
             counts = np.diff(first)
             held = counts >= max(least_words, 1)
@@ -79,12 +111,15 @@ def repeated_units(
     unit: str = "line",
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """doc_id, text_key, spans: the units to cut from each document that has any, in order."""
+    """doc_id, text_key, spans: the units to cut from each document that has any, in order.
+    `unit` is `line`, `paragraph` or `sentence`."""
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {', '.join(UNITS)}")
     keyed = _keyed(docs, id_col, text_col)
     kind = dict(keyed.dtypes)["doc_id"]
     units = materialise(
         keyed.mapInArrow(
-            lambda batches: _units(batches, least_words, unit == "paragraph"),
+            lambda batches: _units(batches, least_words, unit),
             f"doc_id {kind}, text_key long, start long, stop long, low long, high long",
         ),
         "units",

@@ -5,23 +5,33 @@ ORACLES = {
 WITH p AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), l AS (
-  SELECT doc_id, i, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS unit
+  SELECT doc_id, i, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS line
   FROM p, unnest(range(1, len(parts) + 1)) t(i)
+), m AS (  -- sentences of a line, joined until they have 8 words; chr(1) stands between
+  SELECT doc_id, i, string_split(list_reduce(
+    string_split(regexp_replace(line, '([.!?][\x20\x09\x0B-\x0D]+)', '\1' || chr(1), 'g'), chr(1)),
+    lambda a, x: a || CASE WHEN len(regexp_extract_all(split_part(a, chr(1), -1), '[^\x20\x09-\x0D]+')) >= 8
+      THEN chr(1) ELSE '' END || x), chr(1)) AS s FROM l
+), n AS (  -- fewer words at the line's end belong to the unit before
+  SELECT doc_id, i, CASE WHEN len(s) > 1 AND len(regexp_extract_all(s[-1], '[^\x20\x09-\x0D]+')) < 8
+    THEN list_append(s[:-3], s[-2] || s[-1]) ELSE s END AS s FROM m
+), o AS (
+  SELECT doc_id, i, j, s[j] AS unit FROM n, unnest(range(1, len(s) + 1)) t(j)
 ), w AS (
   SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-    CAST(coalesce(sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i
+    CAST(coalesce(sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY i, j
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM l
+  FROM o
 ), r AS (
-  SELECT *, len(string_split(norm, ' ')) >= 8
+  SELECT *, norm <> ''
     AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone FROM w
 )
 SELECT doc_id, count(*) FILTER (gone) AS n_spans,
   CAST(coalesce(sum(strlen(unit)) FILTER (gone), 0) AS BIGINT) AS n_removed,
-  '[' || coalesce(string_agg('{"start":' || start || ',"stop":' || (start + strlen(unit)) || '}', ',' ORDER BY i)
+  '[' || coalesce(string_agg('{"start":' || start || ',"stop":' || (start + strlen(unit)) || '}', ',' ORDER BY i, j)
     FILTER (gone), '') || ']' AS spans,
-  sha256(coalesce(string_agg(unit, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(unit, '' ORDER BY i, j) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
 """,
     "op5_warc": """

@@ -33,7 +33,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup(table(spark, sf_dir, "documents"), unit="sentence").select(
         "doc_id",
         F.size("spans").cast("long").alias("n_spans"),
         "n_removed",
