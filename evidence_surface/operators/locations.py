@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.climate import age_or_default, climate_code, climate_colour, code_colour, or_default
-
-ID_RANGE = 1 << 16  # point ids per part of a location when its points are numbered
+from ..session import materialise, shuffle_partitions
 
 _AT = ("map_id", "lon", "lat")
 
@@ -62,28 +61,27 @@ def location_details(points: DataFrame) -> DataFrame:
     """One row per point with its number at its location, from 1, and the
     texts shown for it.
 
-    The number is the rank within a range of ids plus the points in the ranges
-    before, so a crowded location is ranked in many tasks.
+    Points are sorted once, in ranges of location and id, so a crowded location is a run through
+    several ranges, whatever its ids are. A point's number is its place in its range's
+    part of the run plus the points in the ranges before; a location has one row per range to add up.
     """
-    parts = points.withColumn("part", F.floor(F.col("point_id") / ID_RANGE))
-    of_place = Window.partitionBy(*_AT)
-    before = of_place.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        parts.groupBy(*_AT, "part")
-        .agg(F.count("*").alias("n"))
-        .withColumns(
-            {
-                "earlier": F.coalesce(F.sum("n").over(before), F.lit(0)),
-                "n_points": F.sum("n").over(of_place),
-            }
-        )
-        .drop("n")
+    order = (*_AT, "point_id")
+    ranged = points.repartitionByRange(shuffle_partitions(points.sparkSession), *order)
+    ranged = ranged.sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    # place = range << 33 | row: written before use, as both sides of the join must see the same
+    placed = materialise(ranged, "by_location").withColumn("part", F.shiftright("place", 33))
+    runs = placed.groupBy(*_AT, "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    of_place = runs.groupBy(*_AT).agg(
+        F.sum("n").alias("n_points"), F.array_sort(F.collect_list(F.struct("part", "n", "first"))).alias("runs")
+    )
+    earlier = F.aggregate(
+        F.filter("runs", lambda r: r["part"] < F.col("run.part")), F.lit(0).cast("bigint"), lambda sum_, r: sum_ + r["n"]
+    )
+    counts = of_place.withColumn("run", F.explode("runs")).select(
+        *_AT, F.col("run.part").alias("part"), F.col("run.first").alias("first"), earlier.alias("earlier"), "n_points"
     )
-    within = Window.partitionBy(*_AT, "part").orderBy("point_id")
-    numbered = (
-        parts.withColumn("rank", F.row_number().over(within))
-        .join(counts, [*_AT, "part"])
-        .withColumn("idx", (F.col("earlier") + F.col("rank")).cast("bigint"))
+    numbered = placed.join(counts, [*_AT, "part"]).withColumn(
+        "idx", F.col("earlier") + F.col("place") - F.col("first") + 1
     )
     no_climate = F.when(F.col("n_points") == 1, F.lit("N/A")).otherwise(F.lit(""))
     climate = F.col("climate")

@@ -6,18 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import counted_side
+from ..session import counted_side, small_side
 from .neighbours import BLOCK
 
 REACH = 1  # pixels around a point's own that it overrides too
 
 
-def pixel_address(points: DataFrame, meta: DataFrame, mirror_rows: bool = False) -> DataFrame:
+def _per_map(meta: DataFrame, n_maps: int | None) -> DataFrame:
+    """A row per map as a side of a join; it is written only if nobody knows how many there are."""
+    return counted_side(meta, "raster_meta") if n_maps is None else small_side(meta, n_maps)
+
+
+def pixel_address(
+    points: DataFrame, meta: DataFrame, mirror_rows: bool = False, n_maps: int | None = None
+) -> DataFrame:
     """Points inside their raster with `row`, `col`, nx and ny.
 
     Rows count from the south edge as the grid's do. With `mirror_rows` they
     count from the north edge: right for a raster whose first row is north,
-    and the mirrored placement if used on a grid.
+    and the mirrored placement if used on a grid. `n_maps` bounds the rows of `meta`,
+    which are counted if it is not given.
     """
     raster = meta.select(
         "map_id", "min_lon", "max_lon", "min_lat", "max_lat", "nx", "ny", "pixel_x", "pixel_y"
@@ -29,7 +37,7 @@ def pixel_address(points: DataFrame, meta: DataFrame, mirror_rows: bool = False)
         F.col("min_lat"), F.col("max_lat")
     )
     return (
-        points.join(counted_side(raster, "raster_meta"), "map_id")
+        points.join(_per_map(raster, n_maps), "map_id")
         .where(on_raster)
         .withColumns({"row": row, "col": col})
         .where((F.col("row") < F.col("ny")) & (F.col("col") < F.col("nx")))
@@ -60,10 +68,11 @@ def point_pixels(
     meta: DataFrame,
     values: Sequence[str] = ("value",),
     mirror_rows: bool = False,
+    n_maps: int | None = None,
 ) -> DataFrame:
     """Overridden pixels: map_id, i, j and the greatest value of the points
     around. Points of one pixel are reduced before they are spread."""
-    placed = pixel_address(points, meta, mirror_rows)
+    placed = pixel_address(points, meta, mirror_rows, n_maps)
     own = _greatest(placed, ("map_id", "row", "col", "nx", "ny"), values)
     return dilate(own, values)
 
@@ -103,10 +112,10 @@ def over_lists(pixels: DataFrame, values: Sequence[str]) -> DataFrame:
     )
 
 
-def flip_rows(cells: DataFrame, meta: DataFrame) -> DataFrame:
+def flip_rows(cells: DataFrame, meta: DataFrame, n_maps: int | None = None) -> DataFrame:
     """Rows counted from the other edge."""
     return (
-        cells.join(counted_side(meta.select("map_id", "ny"), "raster_meta"), "map_id")
+        cells.join(_per_map(meta.select("map_id", "ny"), n_maps), "map_id")
         .withColumn("i", F.col("ny") - 1 - F.col("i"))
         .drop("ny")
     )

@@ -58,9 +58,10 @@ def map_cells(
             columns = ["map_id", "lon", "lat", "value", "smoothed"]
             placed = sites.select(*columns).unionByName(crowd.select(*columns))
     # every location is among the sites, so they give the same extent
-    meta = small_side(grid_meta(index.sites, resolution), index.n_maps, broadcast_rows)
+    extents = grid_meta(index.sites, resolution)
+    meta = small_side(extents, index.n_maps, broadcast_rows)
     groups = cell_groups(meta, index, n_neighbors, values, sites, broadcast_rows)
-    pixels = point_pixels(placed, meta, values, mirror_rows)
+    pixels = point_pixels(placed, extents, values, mirror_rows, index.n_maps)
     nothing = F.array().cast(f"array<struct<i:int,j:int,{','.join(f'{v}:double' for v in values)}>>")
     groups = groups.join(over_lists(pixels, values), ["map_id", "bi", "bj"], "left").withColumn(
         "over", F.coalesce("over", nothing)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # A side of a join is broadcast only if its row count, known before the join,
 # is at most this. Rows here are narrow (below 100 bytes), so about 20 MB.
@@ -46,9 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A side of unknown size: written and counted, then as `small_side`."""
-    written = materialise(df, name)
-    return small_side(written, written.count(), limit)
+    """A side of unknown size: written, its rows counted by the same job, then as `small_side`."""
+    seen = Observation()
+    written = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return small_side(written, seen.get["rows"], limit)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,7 +2,8 @@ import pytest
 from brute import COLUMNS, mean, nearest, random_points
 from pyspark.sql import functions as F
 
-from evidence_surface.operators import bounds, locations
+from evidence_surface import session
+from evidence_surface.operators import bounds, grid, locations, pixels
 from evidence_surface.operators.grid import grid_meta
 from evidence_surface.operators.pixels import (
     flip_rows,
@@ -110,8 +111,7 @@ def test_location_groups(places):
     assert (one.n_points, one.tooltip) == (1, "N/A (N/A)")
 
 
-def test_location_details(places, monkeypatch):
-    monkeypatch.setattr(locations, "ID_RANGE", 3)  # the location spans several ranges
+def test_location_details(places):
     got = {r.point_id: r for r in locations.location_details(places).collect()}
     assert {p: r.idx for p, r in got.items()} == {2: 1, 5: 2, 9: 3, 7: 1}
     assert [got[p].climate for p in (2, 5, 9, 7)] == ["", "H", "D", "N/A"]
@@ -119,6 +119,38 @@ def test_location_details(places, monkeypatch):
     assert got[9].country == "N/A" and got[9].colour == "#eaf51d"
 
 
+def test_numbers_on_a_crowded_spot(spark):
+    """Sparse, unordered ids; most points on one spot, which goes through all ranges of the sort."""
+    ids = [(i * 7_919_000_003) % 1_000_000_000_039 for i in range(4000)]
+    rows = [(i % 7 // 6, p, 1.5, -2.5 if i % 10 else float(i), None, None, None, None, None) for i, p in enumerate(ids)]
+    schema = "map_id int, point_id long, lon double, lat double, climate string, formation string, basin string, country string, time string"
+    got = locations.location_details(spark.createDataFrame(rows, schema).repartition(5))
+    places = {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        places.setdefault((r[0], r[2], r[3]), []).append(r[1])
+    want = {(*at, p): (n + 1, len(found)) for at, found in places.items() for n, p in enumerate(found)}
+    assert {(r.map_id, r.lon, r.lat, r.point_id): (r.idx, r.n_points) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metadata_of_a_known_number_is_not_written(spark, monkeypatch):
+    points = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0), (2, 1, 5.0, 6.0, 1.0)], "map_id int, point_id long, lon double, lat double, value double")
+    meta = grid.grid_meta(points, 0.5)
+    counted = pixels.point_pixels(points, meta).collect()
+    monkeypatch.setattr(pixels, "counted_side", None)
+    assert sorted(pixels.point_pixels(points, meta, n_maps=2).collect()) == sorted(counted)
+
+
+def test_rows_are_counted_by_the_write(spark):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    for rows in (0, 3):
+        before = jobs()
+        side = session.counted_side(spark.range(100).where(f"id < {rows}").repartition(2), "few", limit=2)
+        assert jobs() - before <= 2  # the shuffle and the write
+        assert side.count() == rows
+        assert ("broadcast" in side._jdf.queryExecution().analyzed().toString()) == (rows <= 2)
+
+
 def test_basins(places):
     assert [r.basin for r in locations.basin_list(places).collect()] == ["B", "N/A"]
     groups = locations.location_groups(places)
