@@ -73,6 +73,16 @@ def _cells(res: float) -> list[tuple[str, str]]:
     ]
 
 
+TENTH = 0.1
+
+
+def _around(name: str, axis: str, at: str, n: str, source: str) -> tuple[str, str]:
+    """Rows or columns of the fine grid within the capture radius and one more."""
+    low = f"CAST(floor(({at} - {RADIUS}e0 - min_{at}) / {TENTH}e0) AS BIGINT) - 1"
+    high = f"CAST(ceil(({at} + {RADIUS}e0 - min_{at}) / {TENTH}e0) AS BIGINT) + 2"
+    return name, f"SELECT *, CAST(unnest(range(greatest(0, {low}), least({n}, {high}))) AS INT) AS {axis} FROM {source}"
+
+
 def _near(res: float, n: int = NEIGHBOURS, pts: str = "pts") -> list[tuple[str, str]]:
     return [
         (
@@ -402,6 +412,13 @@ ORACLES: dict[str, str] = {
         SELECT age_ma, i, j, point_id, round(d, 6) AS d FROM near""",
     "preserve_points": f"""{_ctes(*_cells(FINE), *_near(FINE, 1))}
         SELECT age_ma, i, j, point_id, value FROM near WHERE d < {RADIUS}e0""",
+    "preserve_points_tenth": f"""{_ctes(PTS, *_meta(TENTH), _around('rws', 'i', 'lat', 'ny', 'pts JOIN meta USING (age_ma)'),
+        _around('rc', 'j', 'lon', 'nx', 'rws'),
+        ('pairs', f"""SELECT *, sqrt((min_lon + j * {TENTH}e0 - lon) * (min_lon + j * {TENTH}e0 - lon)
+          + (min_lat + i * {TENTH}e0 - lat) * (min_lat + i * {TENTH}e0 - lat)) AS d FROM rc"""),
+        ('near', f"""SELECT *, row_number() OVER (PARTITION BY age_ma, i, j ORDER BY d, point_id) AS rn
+          FROM pairs WHERE d < {RADIUS}e0"""))}
+        SELECT age_ma, i, j, point_id, value FROM near WHERE rn = 1""",
     "knn_smooth": f"""{_ctes(PTS, *SMOOTH)} SELECT age_ma, point_id, class_value AS value,
         round(value, 6) AS smoothed FROM smooth""",
     "idw_surface": f"""{_ctes(*_surface(FINE))}

@@ -16,7 +16,7 @@ from evidence_surface.functions.colour import (
     with_pixel_class,
 )
 from evidence_surface.functions.naming import params_suffix
-from evidence_surface.operators import bounds, grid, idw, locations, neighbours, pixels, summary
+from evidence_surface.operators import bounds, capture, grid, idw, locations, neighbours, pixels, summary
 from evidence_surface.operators.sites import build_site_index
 from evidence_surface.plans import folder, maps
 from evidence_surface.sources import catalog, cells as cell_store, geojson
@@ -300,6 +300,14 @@ def preserve_points(spark, sf_dir):
     return by_age(near, "age_ma", "i", "j", "point_id", "value")
 
 
+@query
+def preserve_points_tenth(spark, sf_dir):
+    """The same on the grid that maps are drawn on, 0.1 degree."""
+    points = views.points(spark, sf_dir)
+    near = capture.captured_cells(points, grid.grid_meta(points), RADIUS)
+    return by_age(near, "age_ma", "i", "j", "point_id", "value")
+
+
 # --- surfaces and maps -----------------------------------------------------
 
 
@@ -352,12 +360,17 @@ def raster_stats(spark, sf_dir):
 
 
 def _map_stats(spark, sf_dir, methods, **options):
-    stats = maps.map_stats(
-        views.points(spark, sf_dir), POWER, SHARP, methods, resolution=FINE, n_neighbors=NEIGHBOURS, k=K, **options
-    )
+    options = {"resolution": FINE} | options
+    stats = maps.map_stats(views.points(spark, sf_dir), POWER, SHARP, methods, n_neighbors=NEIGHBOURS, k=K, **options)
     return by_age(stats, "age_ma", "method", *STATS, *PERCENTS, "power", "gradient_sharp")
 
 
+@query
+def map_stats_tenth(spark, sf_dir):
+    """Both methods on the grid that maps are drawn on, 0.1 degree: some four million cells a map."""
+    return _map_stats(spark, sf_dir, tuple(maps.METHODS), resolution=grid.RESOLUTION)
+
+
 @query
 def map_idw_stats(spark, sf_dir):
     return _map_stats(spark, sf_dir, ("idw",))

@@ -3,8 +3,9 @@ from brute import COLUMNS, mean, nearest, random_points
 from pyspark.sql import functions as F
 
 from evidence_surface import session
-from evidence_surface.operators import bounds, grid, locations, pixels
+from evidence_surface.operators import bounds, capture, grid, locations, pixels
 from evidence_surface.operators.grid import grid_meta
+from evidence_surface.operators.neighbours import cell_groups, cell_neighbours
 from evidence_surface.operators.pixels import (
     flip_rows,
     override_cells,
@@ -13,6 +14,7 @@ from evidence_surface.operators.pixels import (
     pixel_address,
     point_pixels,
 )
+from evidence_surface.operators.sites import build_site_index
 from evidence_surface.operators.summary import run_summary
 from evidence_surface.plans.maps import map_cells, map_stats
 
@@ -197,3 +199,29 @@ def test_metadata_goes_to_points_and_cells_not_they_to_it(spark):
             assert "BroadcastHashJoin" in plan and "hashpartitioning(map_id" not in plan.split("BroadcastExchange")[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_captured_cells_are_those_of_the_search(spark):
+    rows = random_points(8, maps=2, n=300, copies=0.2)
+    points = spark.createDataFrame(rows, COLUMNS)
+    meta = grid.grid_meta(points, 0.9)
+    index = build_site_index(points, 1)
+    near = cell_neighbours(cell_groups(meta, index, 1), 1).where("d < 1.3")
+    want = {(r.map_id, r.i, r.j): (r.point_id, r.value) for r in near.collect()}
+    for maps in (None, 2):
+        got = capture.captured_cells(points, meta, 1.3, maps).collect()
+        assert {(r.map_id, r.i, r.j): (r.point_id, r.value) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_default_grid(spark):
+    """A map at 0.1 degree: sampled cells against all points, and the captured ones."""
+    rows = random_points(9, maps=1, n=60)
+    points = spark.createDataFrame(rows, COLUMNS)
+    cells = map_cells(points, 4.0, ("idw",))
+    meta = grid_meta(points).first()
+    assert cells.count() == meta.nx * meta.ny > 300_000
+    some = cells.where("pmod(xxhash64(i, j), 6007) = 0").collect()
+    assert len(some) > 40
+    for c in some:
+        near = nearest(rows, c.lon, c.lat, 12)
+        assert c.value == pytest.approx(near[0][2] if near[0][0] < 0.15 else mean(near, 4.0), abs=1e-9)

@@ -24,7 +24,11 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# whole maps at 0.1 degree: see test_default_grid in test_pixels_and_places.py
+NO_SQL = {"map_stats_tenth"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query_equals_sql(spark, tables, name):
     got = entry.queries()[name](spark, DATA).toPandas()
     want = tables.execute(entry.oracle_sql()[name]).fetchdf()
@@ -32,4 +36,4 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) <= set(entry.oracle_sql())
+    assert set(QUERIES) - NO_SQL <= set(entry.oracle_sql())
