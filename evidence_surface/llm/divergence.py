@@ -38,6 +38,7 @@ from evidence_surface.llm.term_counts import END, group_counts, term_documents
 LEAST_DOCS = 3
 MOST_TERMS = 200
 SCALE = 1_000_000_000
+REWRITE = 0.7  # terms are written again once no more than this share of them goes on
 TILE_TERMS = 8192
 TILE_SOURCES = 64
 
@@ -60,32 +61,34 @@ def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         "lang_id long, term binary, docs array<long>, seen long",
     )
     rows, kept, length = materialise(found, "term_documents"), None, 2
+    held = rows.count()
     while True:
         prefix = F.substring("term", 1, length)
         levels = rows.groupBy("lang_id", prefix.alias("prefix")).agg(
-            F.sum(F.size("docs")).alias("most"), F.bit_count(F.bit_or("seen")).alias("least")
+            F.sum(F.size("docs")).alias("most"), F.bit_count(F.bit_or("seen")).alias("least"), F.count("*").alias("rows")
         )
         # a document is counted once for each of its terms below the prefix, so `most` of a complete term is exact
         levels = levels.where(F.col("most") >= least_docs).withColumn("ends", F.col("prefix").endswith(F.lit(END)))
         levels = materialise(levels, f"prefixes_{length}")
         sure = F.col("ends") | (F.col("least") >= least_docs)
-        unsure = levels.where(~sure).select("lang_id", "prefix")
-        alive = levels.where(sure & ~F.col("ends")).select("lang_id", "prefix")
-        if unsure.head(1):
-            exact = rows.withColumn("prefix", prefix).join(unsure, ["lang_id", "prefix"])
-            exact = exact.select("lang_id", "prefix", F.explode("docs").alias("doc")).distinct()
-            exact = exact.groupBy("lang_id", "prefix").count().where(F.col("count") >= least_docs)
-            alive = materialise(alive.unionByName(exact.select("lang_id", "prefix")), f"alive_{length}")
+        unsure = levels.where(~sure).select(F.col("lang_id").alias("of"), "prefix", "rows")
+        alive = levels.where(sure & ~F.col("ends")).select(F.col("lang_id").alias("of"), "prefix", "rows")
+        n_unsure = unsure.count()
+        if n_unsure:
+            same = (F.col("lang_id") == F.col("of")) & (prefix == F.col("prefix"))
+            exact = rows.join(bounded_side(unsure, n_unsure), same).select("of", "prefix", "rows", F.explode("docs").alias("doc"))
+            exact = exact.distinct().groupBy("of", "prefix", "rows").count().where(F.col("count") >= least_docs)
+            alive = materialise(alive.unionByName(exact.drop("count")), f"alive_{length}")
         whole = levels.where("ends").select("lang_id", F.expr("cast(substring(prefix, 1, length(prefix) - 1) as string) term"))
         kept = whole if kept is None else kept.unionByName(whole)
-        n = alive.count()
+        n, left = alive.agg(F.count("*"), F.sum("rows")).first()
         if not n:
             return materialise(kept, "kept_terms")
-        side = alive.select("lang_id", F.col("prefix").alias("alive"))
-        longer = rows.where(F.length("term") > length).join(
-            bounded_side(side, n), (rows["lang_id"] == side["lang_id"]) & (prefix == side["alive"]), "left_semi"
-        )
-        rows, length = materialise(longer, f"longer_{length}"), 2 * length
+        rows = rows.where(F.length("term") > length)
+        if left < REWRITE * held:  # what goes now would go at the next level too, as its extensions are no more frequent
+            same = (F.col("lang_id") == F.col("of")) & (prefix == F.col("prefix"))
+            rows, held = materialise(rows.join(bounded_side(alive, n), same, "left_semi"), f"longer_{length}"), left
+        length *= 2
 
 
 def _tile(key: tuple, table: pa.Table) -> pa.Table:
