@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS_PER_FILE = 4_000_000
 CODEC = "zstd"
+# cells per side of the squares that files hold one after the other, and about their bytes: a row group
+SQUARE = 256
+ROW_GROUP_BYTES = 1 << 20
 
 # Names of rasters delivered with the points.
 RASTER_SUFFIX = "_idw"
@@ -15,12 +18,16 @@ AGE_SUFFIX = "_ma"
 def write_cells(cells: DataFrame, path: str, by: tuple[str, ...] = ("method", "map_id")) -> None:
     """One directory per method and map. Only the directories written to are
     replaced. Rows are gathered by directory, small directories together and
-    large ones over as many writers as their size asks for."""
+    large ones over as many writers as their size asks for. A file holds its cells square by square,
+    so the least and greatest values of its row groups tell places apart."""
+    squares = [F.floor(F.col(c) / SQUARE) for c in ("i", "j")]
     (
         cells.hint("rebalance", *by)
+        .sortWithinPartitions(*by, *squares, "i", "j")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", CODEC)
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*by)
         .parquet(path)
@@ -32,9 +39,18 @@ def write_pixels(pixels: DataFrame, path: str, by: tuple[str, ...] = ("method",
     write_cells(pixels.select(*by, "i", "j", "r", "g", "b"), path, by)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All maps' cells; a filter on method or map_id reads those directories only."""
-    return spark.read.parquet(path)
+def read_cells(
+    spark: SparkSession, path: str, within: dict[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """All maps' cells; a filter on method or map_id reads those directories only.
+
+    `within` limits columns that say where a cell is, such as lon and lat, or i and j, to closed
+    ranges. Row groups whose squares lie outside are not read.
+    """
+    cells = spark.read.parquet(path)
+    for column, (low, high) in (within or {}).items():
+        cells = cells.where(F.col(column).between(low, high))
+    return cells
 
 
 # what describes a raster besides its cells: extent, shape and pixel size

@@ -1,5 +1,7 @@
+import glob
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +192,31 @@ def test_cells_by_map_and_replacement(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(map_id" in plan
 
 
+def test_cells_by_place(spark, tmp_path):
+    """A box of a map is read from few of its row groups, and equals the box of a full read."""
+    path = str(tmp_path / "cells")
+    grid = spark.range(1200).selectExpr("int(id) AS i").crossJoin(spark.range(1500).selectExpr("int(id) AS j"))
+    grid = grid.selectExpr("'idw' AS method", "65 AS map_id", "i", "j", "j * 0.1D - 75 AS lon", "i * 0.1D - 60 AS lat", "rand(3) AS value")
+    cells.write_cells(grid.repartition(6), path)
+    box = {"lon": (-20.0, -10.0), "lat": (5.0, 12.0)}
+    some = cells.read_cells(spark, path, box).where("map_id = 65")
+    rows = {(r.i, r.j, r.value) for r in some.collect()}
+    want = spark.read.parquet(path).where("lon BETWEEN -20 AND -10 AND lat BETWEEN 5 AND 12").collect()
+    assert rows == {(r.i, r.j, r.value) for r in want} and len(rows) > 6000
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() < 0.25 * 1200 * 1500
+    inside = total = 0
+    for file in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        meta = pq.ParquetFile(file).metadata
+        names = [meta.schema.column(c).name for c in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            of = {c: meta.row_group(g).column(names.index(c)).statistics for c in box}
+            inside += all(of[c].max >= low and of[c].min <= high for c, (low, high) in box.items())
+            total += 1
+    assert total >= 10 and inside <= 0.3 * total, (inside, total)
+    assert cells.read_cells(spark, path, {"i": (3, 4), "j": (7, 7)}).count() == 2
+
+
 def test_pixels_keep_colours_only(spark, tmp_path):
     path = str(tmp_path / "pixels")
     schema = "method string, map_id int, i int, j int, value double, r int, g int, b int"
