@@ -1,13 +1,12 @@
 """Suffix-array dedup: cuts every byte covered by a string of `threshold` bytes that also starts
 in a document with a smaller id.
 
-Ranks are doubled: a string's rank is paired with the rank of what follows, at growing offsets,
-and only positions whose rank is not unique go on. Ranks are 64-bit names of byte strings, so
-those at 1, 2, 4, 8, 16 and LENGTH bytes need no exchange. Ranking every byte position through
-Spark would shuffle some 20 times the input in each round, so the positions that enter the
-rounds are sampled: of the strings of LENGTH bytes inside each string of `threshold` bytes
+Spark doubles no ranks here. A string's 64-bit fingerprint is paired with that of what follows, at
+growing offsets of 1, 2, 4, 8, 16 and LENGTH bytes, in numpy inside the task; it is called its
+rank below. Ranking every byte position through Spark would shuffle some 20 times the input in
+each round, so positions are sampled, and Spark makes two fixed passes over them: of the strings of LENGTH bytes inside each string of `threshold` bytes
 the least in hash order, about one position in 15. Equal strings of `threshold` bytes hold an
-equal sample at an equal distance, so no match is lost. Rounds:
+equal sample at an equal distance, so no match is lost. Passes:
 
 1. Spark sorts (rank, rank of the context, id) of all samples, the context being the sample and
    all bytes that a string of `threshold` bytes around it can reach. Samples of unique rank end;
