@@ -4,9 +4,10 @@ A text is read in windows of WINDOW bytes, the state starting anew in each. Ever
 forward and a backward gated recurrent unit (HIDDEN wide each); the two states at a position
 give it a distribution over the languages (the position's label), and a document's
 probabilities are the mean over all positions of its whole text. Training is plain numpy:
-backpropagation through time with Adam, on windows of at most TRAIN_DOCS labelled documents
-(by hash order, the documented bound of the fit); the trained weights, a few thousand numbers,
-are sent to the tasks that read the texts. Documents are never shuffled.
+backpropagation through time with Adam, on TRAIN_WINDOWS windows of each of at most TRAIN_DOCS
+labelled documents, drawn by hash and spread over the languages (the documented bound of the fit);
+the trained weights, a few thousand numbers, are sent to the tasks that read the texts. The
+windows of the training documents are all that goes to the driver. Documents are never shuffled.
 
 Defined results: `und` with score 0 if a text is null or has no letter; without any labelled
 document every text is `und`; repeated rows get the same result. Equal probabilities go to the
@@ -20,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidence_surface.llm.common import bounded_sample
 from evidence_surface.llm.words import buffers, slices
 
 WINDOW = 64
@@ -142,24 +142,22 @@ def _codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int64), 256)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
+def train(pieces: list[bytes], langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
+    """`pieces`: windows of at most WINDOW bytes; `langs`: the language of each."""
     languages = sorted(set(langs))
     network, rng = Network(languages, seed), np.random.default_rng(seed)
-    data, offsets = buffers(pa.array(texts, pa.string()))
-    starts, text = _windows(data, offsets)
-    if not len(starts):
+    if not pieces:
         return network
-    many = np.bincount(text, minlength=len(texts))
-    order = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    stride = np.maximum(many // TRAIN_WINDOWS, 1)[text]
-    chosen = np.flatnonzero((order % stride == 0) & (order // stride < TRAIN_WINDOWS))
-    codes = _codes(data, starts[chosen], offsets[text[chosen] + 1])
-    wanted = np.searchsorted(languages, np.array(langs)[text[chosen]])
+    sizes = np.array([len(p) for p in pieces])
+    stops = np.cumsum(sizes)
+    codes = _codes(np.frombuffer(b"".join(pieces), np.uint8), stops - sizes, stops)
+    wanted = np.searchsorted(languages, np.array(langs))
     weights = network.weights()
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    step, steps = 0, epochs * -(-len(chosen) // BATCH)
+    batches = -(-len(pieces) // BATCH)
+    step, steps = 0, epochs * batches
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(chosen)), -(-len(chosen) // BATCH)):
+        for part in np.array_split(rng.permutation(len(pieces)), batches):
             _, gradients = network.gradients(codes[:, part], wanted[part])
             step += 1
             rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -244,12 +242,56 @@ def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
             )
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Trains on at most TRAIN_DOCS of the rows of `labelled`, those with text and language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = bounded_sample(rows.select(id_col, text_col, lang_col), TRAIN_DOCS, id_col, lang_col).collect()
-    sample = sorted((r for r in sample if r[text_col]), key=lambda r: (str(r[id_col]), r[text_col]))
-    return train([r[text_col] for r in sample], [r[lang_col] for r in sample]) if sample else None
+def pieces(text: Column) -> Column:
+    """TRAIN_WINDOWS windows of a text, or all it has if these are fewer, spread evenly."""
+    data = text.cast("binary")
+    many = F.ceil(F.octet_length(text) / WINDOW).cast("int")
+    some = F.least(many, F.lit(TRAIN_WINDOWS))
+    return F.transform(
+        F.sequence(F.lit(0), some - 1),
+        lambda o: F.substring(data, F.floor(o * many / some).cast("int") * WINDOW + 1, F.lit(WINDOW)),
+    )
+
+
+def quota(counts: list[int], most: int) -> int:
+    """The greatest number of documents per language that keeps all below `most`, but 1 at least."""
+    left, counts = most, sorted(counts)
+    for i, count in enumerate(counts):
+        each = left // (len(counts) - i)
+        if count > each:
+            return max(each, 1)
+        left -= count
+    return max([1, *counts])
+
+
+def training_rows(
+    labelled: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """doc_id, lang, pieces of the documents that train: of each language the same number, drawn
+    by hash, or all it has. The windows are cut where the texts are read; nothing else leaves."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
+        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+    )
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each, space = quota(list(counts.values()), most), 1 << 40
+    shares = [(lang, int(min(1.0, 1.2 * each / n + 20 / n) * space)) for lang, n in counts.items()]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    spot = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(space))
+    near = rows.withColumn("spot", spot).join(F.broadcast(shares), "lang").where(F.col("spot") <= F.col("share"))
+    cut = near.select("doc_id", "lang", "spot", pieces(F.col("text")).alias("pieces"))
+    first = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    return cut.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= each).select("doc_id", "lang", "pieces")
+
+
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Network | None:
+    """Trains on windows of at most TRAIN_DOCS of the rows of `labelled`, those with text and
+    language; if there are more languages, on a document of each."""
+    sample = training_rows(labelled, TRAIN_DOCS, id_col, text_col, lang_col).collect()
+    sample.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["pieces"]))
+    cut = [(bytes(p), r["lang"]) for r in sample for p in r["pieces"]]
+    return train([p for p, _ in cut], [lang for _, lang in cut]) if cut else None
 
 
 def predict_language(

@@ -79,3 +79,34 @@ def test_odd_cases(spark):
             assert (r["lang_pred"], r["score"] > 0) == (("xx", True) if lettered else ("und", False))
     assert {r["lang_pred"] for r in L.predict_language(docs.withColumn("lang", L.F.lit(None).cast("string"))).collect()} == {"und"}
     assert L.predict_language(docs.limit(0)).count() == 0
+
+
+def test_pieces_are_spread_over_the_whole_text(spark):
+    texts = ["a", "é" * 32, "b" * 65, "c" * 64 * 5 + "d", "".join(chr(97 + i) * 64 for i in range(11)), "x" * 100_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: [bytes(p) for p in r["p"]] for r in rows.select("i", L.pieces(L.F.col("t")).alias("p")).collect()}
+    for i, text in enumerate(texts):
+        data = text.encode()
+        cut = [data[a : a + L.WINDOW] for a in range(0, len(data), L.WINDOW)]
+        some = min(len(cut), L.TRAIN_WINDOWS)
+        assert got[i] == [cut[o * len(cut) // some] for o in range(some)]
+
+
+def test_quota_fills_what_rare_languages_leave():
+    assert L.quota([], 10) == 1
+    assert L.quota([3, 4], 10) == 4
+    assert L.quota([1, 100, 100], 11) == 5
+    assert L.quota([50] * 20, 10) == 1
+
+
+def test_training_rows_hold_every_language_and_no_text(spark):
+    rows = [(i, "common " * 50, "xx") for i in range(3000)] + [(5000 + i, f"rare {i}", "yy") for i in range(3)]
+    rows += [(None, "w" * 3_000_000, "zz"), (None, "no id " * 3, "zz"), (7, None, "zz"), (8, "", "zz"), (9, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.training_rows(docs, most=100).collect()
+    by = {lang: [r for r in got if r["lang"] == lang] for lang in ("xx", "yy", "zz")}
+    assert [len(by[k]) for k in by] == [95, 3, 2] and len(got) == 100
+    assert all(len(p) <= L.WINDOW for r in got for p in r["pieces"])
+    assert all(len(r["pieces"]) <= L.TRAIN_WINDOWS for r in got)
+    again = L.training_rows(docs.repartition(5), most=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
