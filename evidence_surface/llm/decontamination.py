@@ -8,9 +8,11 @@ mask: hits of any mask are candidates, and each is verified token by token. Item
 than SPAN are one window with masks of their length and a tolerance in proportion: one
 substitution from 6 tokens on, none below.
 
-Test items are a query set that is met in blocks of at most SEEDS_PER_BLOCK hashes, each
+Test items are a query set that is met in blocks of about SEEDS_PER_BLOCK hashes, each
 sent to the tasks that read the documents; documents are never shuffled. Every block is
-scanned against all documents, so any number of items gives the same rows.
+scanned against all documents, so any number of items gives the same rows. One block after the
+other: its overlaps are written and the block is released before the next one is read, so what
+the driver and a task hold does not grow with the items.
 
 Defined results: null texts have no tokens and overlap nothing; equal items are all named;
 each row of the documents gives one row, repeated or not. Other columns do not matter.
@@ -170,15 +172,13 @@ def overlapping(
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     kind, item_kind = dict(keyed.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
+    schema = f"doc_id {kind}, text_key long, item_ids array<{item_kind}>, windows array<long>"
     found = []
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast((ids, texts))
-        found.append(
-            keyed.mapInArrow(
-                lambda batches, sent=sent: _scan(batches, sent),
-                f"doc_id {kind}, text_key long, item_ids array<{item_kind}>, windows array<long>",
-            )
-        )
+        scanned = keyed.mapInArrow(lambda batches, sent=sent: _scan(batches, sent), schema)
+        found.append(materialise(scanned, "block_overlaps"))
+        sent.destroy()
     both = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("item_ids", "windows")]
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(*both)
 

@@ -96,3 +96,25 @@ def test_repeated_items_are_dealt_once(spark, monkeypatch):
     benchmark = spark.createDataFrame([(i % 3, f"item {i % 3} of the benchmark") for i in range(300)], "item_id long, text string")
     blocks = list(d._blocks(benchmark, "item_id", "text"))
     assert sorted(i for ids, _ in blocks for i in ids) == [0, 1, 2]
+
+
+def test_blocks_are_released_one_after_the_other(spark, monkeypatch):
+    texts, items = cases()
+    held, most = set(), []
+    send = spark.sparkContext.broadcast
+
+    def counted(value):
+        sent = send(value)
+        destroy = sent.destroy
+        held.add(sent)
+        most.append(len(held))
+        monkeypatch.setattr(sent, "destroy", lambda *a: (held.discard(sent), destroy(*a)), raising=False)
+        return sent
+
+    monkeypatch.setattr(d, "SEEDS_PER_BLOCK", 300)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = d.overlapping(docs, benchmark).collect()
+    assert {r["doc_id"] for r in rows} == {i for i, t in enumerate(texts) if expected(t, items)[0]}
+    assert len(most) > 3 and max(most) == 1 and not held
