@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,17 +14,20 @@ from ..functions.naming import output_path, params_suffix, title_label
 from ..operators.summary import class_stats, run_summary
 from ..session import counted_side, materialise
 from ..sources import catalog, cells as cell_store, geojson
+from .changes import outdated, point_digests, read_state, write_state
 from .maps import GRADIENT_SHARP, METHODS, map_cells, map_pixels
 
 
 @dataclass(frozen=True)
 class FolderRun:
     """summary: map_id, n_points, n_coast, status. stats: class shares per map and method with
-    title, path and the run's parameters. catalog: as `map_catalog`, read back from its sink."""
+    title, path and the run's parameters. catalog: as `map_catalog`, read back from its sink.
+    drawn: map_id and cells of the maps this run drew; without `cells` only their shares."""
 
     summary: DataFrame
     stats: DataFrame
     catalog: DataFrame
+    drawn: DataFrame
 
 
 def run_folder(
@@ -35,6 +39,7 @@ def run_folder(
     methods: Sequence[str] = tuple(METHODS),
     listed_method: str = "knn_idw",
     pdfs: DataFrame | None = None,
+    changed_only: bool = False,
     **options,
 ) -> FolderRun:
     """Maps all data sets of `folder` that have both files and any point; the others are
@@ -42,6 +47,11 @@ def run_folder(
 
     Writes `out`/cells and `out`/stats by method and map, replacing only the maps of this run,
     and `out`/catalog. `options` are those of `map_cells`; `pdfs` lists the PDF paths that exist.
+
+    `changed_only` leaves the files of maps alone whose points and parameters are those that `out`
+    was drawn from (a point added, moved, deleted or of another class number counts as a change); a new
+    `gradient_sharp` draws their shares anew from the stored cells. What `out` holds is taken as
+    these runs wrote it.
     """
     found = materialise(geojson.discover_datasets(spark, folder, nested=True), "datasets")
     reader = geojson.read_features(spark, folder)
@@ -54,10 +64,21 @@ def run_folder(
     lines = features.where(F.col("is_coast") & F.col("type").isin("LineString", "MultiLineString"))
     summary = run_summary(found.select("map_id"), points, lines)
 
-    cell_store.write_cells(map_cells(points, power, methods, **options), f"{out}/cells")
+    drawn_by = {"power": float(power), "methods": sorted(methods), **options}
+    drawn_by.pop("broadcast_rows", None)
+    digests = materialise(point_digests(points, json.dumps(drawn_by, sort_keys=True)), "digests")
+    state = read_state(spark, f"{out}/state") if changed_only else read_state(spark, f"{out}/state").limit(0)
+    drawn = materialise(outdated(digests, state, float(gradient_sharp)), "outdated")
+    # until its shares are written, a map counts as unfinished
+    write_state(drawn, f"{out}/state", None)
+    due = drawn.where("cells").select("map_id")
+    if due.head(1):
+        placed = points.join(counted_side(due, "due"), "map_id", "left_semi") if changed_only else points
+        cell_store.write_cells(map_cells(placed, power, methods, **options), f"{out}/cells")
     done = counted_side(summary.where("status = 'processed'").select("map_id"), "processed")
+    to_draw = counted_side(drawn.select("map_id"), "drawn")
     stored = cell_store.read_cells(spark, f"{out}/cells").where(F.col("method").isin(*methods))
-    stored = stored.withColumn("map_id", F.col("map_id").cast("string")).join(done, "map_id", "left_semi")
+    stored = stored.withColumn("map_id", F.col("map_id").cast("string")).join(to_draw, "map_id", "left_semi")
     suffix = params_suffix(power, gradient_sharp)
     paths = {m: output_path(out, F.col("map_id"), m, suffix) for m in methods}
     path = F.coalesce(*[F.when(F.col("method") == m, p) for m, p in paths.items()])
@@ -72,10 +93,12 @@ def run_folder(
     stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "map_id").parquet(
         f"{out}/stats"
     )
+    write_state(drawn, f"{out}/state", float(gradient_sharp))
 
     name = F.regexp_extract(output_path("", F.col("map_id"), listed_method, suffix), r"([^/]+)$", 1)
     pdfs = found.select(F.lit("").alias("pdf")).limit(0) if pdfs is None else pdfs
     listing = catalog.map_catalog(done.select(name.alias("name")), pdfs, out)
     catalog.write_catalog(listing, f"{out}/catalog")
     written = spark.read.parquet(f"{out}/stats").withColumn("map_id", F.col("map_id").cast("string"))
-    return FolderRun(summary, written, catalog.read_catalog(spark, f"{out}/catalog"))
+    listed = catalog.read_catalog(spark, f"{out}/catalog")
+    return FolderRun(summary, written, listed, drawn.select("map_id", "cells"))
