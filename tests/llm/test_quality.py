@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +88,46 @@ def test_odd_cases(spark):
         assert all(r["kept"] == (r["log_weight"] is not None) for r in rows)
         assert sum(r["log_weight"] is None for r in rows) == 3
     assert quality.quality_filter(docs.limit(0), labels).count() == 0
+
+
+def test_weights_and_decisions_against_plain_counts(spark):
+    rows = [(i, t) for i, t, _ in make(120)] + [(500, None), (501, ""), (7, make(120)[7][1])]
+    labels = [(i, q) for i, _, q in make(120) if i % 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.quality_filter(docs, spark.createDataFrame(labels, "doc_id long, quality int"), seed=3).collect()
+    good = {i for i, q in labels if q}
+    raw, target, grams = Counter(), Counter(), []
+    for i, t in rows:
+        own, _ = quality.gram_buckets(pa.array([t or ""]))
+        grams.append(own.tolist())
+        raw.update(grams[-1])
+        target.update(grams[-1] if i in good else ())
+    sizes = [sum(c.values()) + quality.BUCKETS for c in (target, raw)]
+    weight = {}
+    for (i, t), own in zip(rows, grams):
+        ratios = [math.log((target[g] + 1) / sizes[0]) - math.log((raw[g] + 1) / sizes[1]) for g in own]
+        weight[i, t or ""] = quality.REFERENCE_GRAMS * sum(ratios) / len(ratios) if ratios else None
+    noise = docs.selectExpr("doc_id", "coalesce(text, '') t", f"pmod(xxhash64(doc_id, coalesce(text, ''), 3), {1 << 52}) r")
+    draw = {(r["doc_id"], r["t"]): (r["r"] + 0.5) / (1 << 52) for r in noise.collect()}
+    keys = {k: w - math.log(-math.log(draw[k])) for k, w in weight.items() if w is not None}
+    known = [(weight[i, t or ""], i in good) for i, t in dict(rows).items() if i in dict(labels)]
+    gains = []
+    for cut in {w for w, _ in known}:  # the best cut lies below one of the labelled weights
+        hits = [sum(w >= cut for w, g in known if g), sum(w < cut for w, g in known if not g)]
+        gains.append((hits[0] / len(good) + hits[1] / (len(known) - len(good)), cut))
+    best = max(g for g, _ in gains)
+    among = [(i, t or "") for i, t in rows if t]
+    wanted = []
+    for gain, cut in gains:
+        if gain > best - 1e-9:
+            k = sum(weight[d] >= cut - 1e-6 for d in among)
+            least = sorted((keys[d] for d in among), reverse=True)[k - 1]
+            wanted.append({d for d in among if keys[d] >= least - 1e-6})
+    texts = {(i, k["text_key"]): t or "" for (i, t), k in zip(rows, docs.selectExpr("xxhash64(coalesce(text, '')) text_key").collect())}
+    assert len(got) == len(rows)
+    for r in got:
+        want = weight[r["doc_id"], texts[r["doc_id"], r["text_key"]]]
+        assert (r["log_weight"] is None) == (want is None) and (want is None or abs(r["log_weight"] - want) < 1e-6)
+    kept = {(r["doc_id"], texts[r["doc_id"], r["text_key"]]) for r in got if r["kept"]}
+    assert kept in wanted and 0 < len(kept) < len(weight)
+    assert len({r["kept"] for r in got if r["doc_id"] == 7}) == 1  # equal keys share their fate

@@ -87,3 +87,31 @@ def test_plan_is_native(spark):
     urls = spark.createDataFrame([(i, x) for i, x, _ in make(50, 4)], "page_id long, url string")
     plan = u.filter_urls(urls, RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEvalless", "")
+
+
+def test_split_is_the_best_of_all():
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = [([rng.randrange(4) for _ in range(3)], rng.uniform(-1, 1), rng.uniform(0.01, 0.25)) for _ in range(rng.randrange(1, 12))]
+        sums = {}
+        for bins, g, h in rows:
+            for f, b in enumerate(bins):
+                old = sums.get((f, b), (0.0, 0.0))
+                sums[f, b] = (old[0] + g, old[1] + h)
+
+        def leaf(part):
+            return sum(g for _, g, _ in part) ** 2 / (sum(h for _, _, h in part) + u.RIDGE)
+
+        gains = {}
+        for f in range(3):
+            for b in range(4):
+                sides = [r for r in rows if r[0][f] <= b], [r for r in rows if r[0][f] > b]
+                if all(sides):
+                    gains[f, b] = leaf(sides[0]) + leaf(sides[1]) - leaf(rows)
+        gain, at, value = u._split(sums, 3)
+        assert value == pytest.approx(-sum(g for _, g, _ in rows) / (sum(h for _, _, h in rows) + u.RIDGE))
+        best = max(gains.values(), default=0.0)
+        if best <= 1e-6 - 1e-12:
+            assert at is None
+        elif at is not None:
+            assert gain == pytest.approx(best) and gains[at] == pytest.approx(best)
