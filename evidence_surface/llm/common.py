@@ -51,13 +51,22 @@ def bounded_sample(df: DataFrame, most: int, *by: str, seed: int = 0) -> DataFra
     return near.orderBy("spot_", *by).limit(most).drop("spot_")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many `_` behind it as no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """`docs` without the rows whose keys (null equals null) are in `gone`, written beforehand.
 
     Texts are shuffled only if `gone` has more rows than a broadcast side may.
     """
-    gone = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    names = [free_name(docs, f"gone_{k}") for k in keys]
+    gone = gone.select(*[F.col(k).alias(name) for k, name in zip(keys, names)])
+    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in zip(keys, names)]
     return docs.join(bounded_side(gone, gone.count()), reduce(Column.__and__, same), "left_anti")
 
 

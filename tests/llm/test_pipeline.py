@@ -77,3 +77,16 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
     assert os.path.exists(p.__file__)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 977} v{i % 1013}" for i in range(60_000))
+    spaced = long.replace(" ", " \t", 1)
+    rows = [(1, long, 5, 6, "a"), (2, spaced, 7, 8, "b"), (2, spaced, 7, 8, "b"), (3, "other words", 9, 1, "c"), (None, None, 2, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key_ int, gone_doc_id int, gone_text_key_ string")
+    kept = p.exact(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = {r["doc_id"]: tuple(r) for r in kept.collect()}
+    assert got == {1: rows[0], 3: rows[3], None: rows[4]}
+    decided = docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS text_key", "doc_id <=> 2 OR doc_id IS NULL AS kept")
+    assert sorted(map(str, map(tuple, p._keep(docs, decided).collect()))) == sorted(map(str, [rows[1], rows[2], rows[4]]))
