@@ -5,7 +5,9 @@ writes each stage's documents to the shared folder and reads them again. All sta
 last return the columns of `documents`; the last returns the pieces of the packed windows.
 
 Rows are told apart by id and text: nulls, repeated rows and ids with several texts are
-handled as the operators define. No SQL states the quality and near-duplicate decisions over
+handled as the operators define. Columns of any other names pass through all stages but the last,
+also those named like the pipeline's own keys; very long texts are handled as the operators
+handle them. No SQL states the quality and near-duplicate decisions over
 whole tables, so the pipeline is tested against plain versions of its stages.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_surface.llm.common import materialise, normalised_space, table, without
+from evidence_surface.llm.common import free_name, materialise, normalised_space, table, without
 from evidence_surface.llm.decontamination import decontaminate
 from evidence_surface.llm.exact_dedup import exact_dedup
 from evidence_surface.llm.jaccard_join import jaccard_classes
@@ -21,15 +23,15 @@ from evidence_surface.llm.packing import pack
 from evidence_surface.llm.quality import quality_filter
 from evidence_surface.llm.queries import tokenizer_path
 
-KEY = "text_key_"
 ORACLE_SQL = None
 
 
 def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Documents that `decisions` (doc_id, text_key, kept) keep."""
-    gone = decisions.where(~F.col("kept")).select("doc_id", F.col("text_key").alias(KEY)).distinct()
-    keyed = docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return without(keyed, materialise(gone, "gone"), "doc_id", KEY).drop(KEY)
+    key = free_name(docs, "text_key_")
+    gone = decisions.where(~F.col("kept")).select("doc_id", F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return without(keyed, materialise(gone, "gone"), "doc_id", key).drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +40,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of equal texts; of its repeated rows one."""
-    found = exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias(KEY))
+    key = free_name(docs, "text_key_")
+    found = exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias(key))
     found = materialise(found.agg(F.max("kept").alias("kept"), F.count("*").alias("copies")), "decisions")
-    keyed = docs.withColumn(KEY, F.sha2(normalised_space(F.col("text")), 256))
-    rest = without(keyed, found.where(~F.col("kept")), "doc_id", KEY)
+    keyed = docs.withColumn(key, F.sha2(normalised_space(F.col("text")), 256))
+    rest = without(keyed, found.where(~F.col("kept")), "doc_id", key)
     repeated = found.where(F.col("kept") & (F.col("copies") > 1))
     if repeated.head(1):
-        once = without(rest, found.where(F.col("copies") == 1), "doc_id", KEY).dropDuplicates(["doc_id", KEY])
-        rest = without(rest, repeated, "doc_id", KEY).unionByName(once)
-    return rest.drop(KEY)
+        once = without(rest, found.where(F.col("copies") == 1), "doc_id", key).dropDuplicates(["doc_id", key])
+        rest = without(rest, repeated, "doc_id", key).unionByName(once)
+    return rest.drop(key)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
