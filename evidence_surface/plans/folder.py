@@ -14,7 +14,7 @@ from ..functions.naming import output_path, params_suffix, title_label
 from ..operators.summary import class_stats, run_summary
 from ..session import counted_side, materialise
 from ..sources import catalog, cells as cell_store, geojson
-from .changes import outdated, point_digests, read_state, write_state
+from .changes import STATE, outdated, point_digests, read_state, write_state
 from .maps import GRADIENT_SHARP, METHODS, map_cells, map_pixels
 
 
@@ -67,7 +67,7 @@ def run_folder(
     drawn_by = {"power": float(power), "methods": sorted(methods), **options}
     drawn_by.pop("broadcast_rows", None)
     digests = materialise(point_digests(points, json.dumps(drawn_by, sort_keys=True)), "digests")
-    state = read_state(spark, f"{out}/state") if changed_only else read_state(spark, f"{out}/state").limit(0)
+    state = read_state(spark, f"{out}/state") if changed_only else spark.createDataFrame([], STATE)
     drawn = materialise(outdated(digests, state, float(gradient_sharp)), "outdated")
     # until its shares are written, a map counts as unfinished
     write_state(drawn, f"{out}/state", None)
