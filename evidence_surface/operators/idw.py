@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS
 from .grid import RESOLUTION, grid_meta
 from .neighbours import cell_groups, cell_values, site_groups, site_neighbours, site_smoothed
+from .ranking import Mean
 from .sites import SiteIndex, build_site_index
 
 POWER = 2.0
@@ -71,10 +74,23 @@ def smooth_sites(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The index's sites with `smoothed`; alone on its map a site keeps its value."""
-    if k <= 0:
-        return index.sites.withColumn("smoothed", F.col("value"))
-    groups = site_groups(index, k, exclude_self, broadcast_rows)
-    return site_smoothed(groups, k, power, ZERO_DISTANCE, exclude_self)
+    return smooth_sites_by(index, {"smoothed": (k, power)}, exclude_self, broadcast_rows)
+
+
+def smooth_sites_by(
+    index: SiteIndex,
+    columns: Mapping[str, tuple[int, float]],
+    exclude_self: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """As `smooth_sites` for several (k, power), a column each, by one search for the greatest k.
+    With a k of 0 a column holds the values as they are."""
+    means = [Mean(name, "value", k, float(power)) for name, (k, power) in columns.items() if k > 0]
+    sites = index.sites
+    if means:
+        groups = site_groups(index, max(m.k for m in means), exclude_self, broadcast_rows)
+        sites = site_smoothed(groups, means, ZERO_DISTANCE, exclude_self)
+    return sites.withColumns({name: F.col("value") for name, (k, _) in columns.items() if k <= 0})
 
 
 def _first_of_crowds(index: SiteIndex, k: int) -> DataFrame:
@@ -118,11 +134,26 @@ def crowd_members(
 def smooth_crowd(
     points: DataFrame, index: SiteIndex, k: int, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame | None:
-    """`smoothed` of the points the index left out: neighbours at distance zero
-    have equal weights."""
-    total = F.aggregate("first", F.lit(0.0), lambda acc, n: acc + n["value"])
-    crowds = _first_of_crowds(index, k).withColumn("smoothed", total / F.size("first")).drop("first")
-    return crowd_members(points, index, crowds, broadcast_rows)
+    """`smoothed` of the points the index left out."""
+    return smooth_crowd_by(points, index, {"smoothed": k}, broadcast_rows)
+
+
+def smooth_crowd_by(
+    points: DataFrame, index: SiteIndex, columns: Mapping[str, int], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame | None:
+    """The points the index left out, with a column for each k: their neighbours are at distance
+    zero and have equal weights, whatever the power is."""
+    most = max(columns.values())
+    means = {}
+    for name, k in columns.items():
+        near = F.slice("first", 1, max(k, 1))
+        mean = F.aggregate(near, F.lit(0.0), lambda acc, n: acc + n["value"]) / F.size(near)
+        means[name] = mean if k > 0 else F.lit(None).cast("double")
+    crowds = _first_of_crowds(index, max(most, 1)).withColumns(means).drop("first")
+    members = crowd_members(points, index, crowds, broadcast_rows)
+    if members is None:
+        return None
+    return members.withColumns({name: F.col("value") for name, k in columns.items() if k <= 0})
 
 
 def knn_smooth(

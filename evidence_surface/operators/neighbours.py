@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS, shuffle_partitions, small_side
 from . import ranking
+from .ranking import Mean
 from .sites import SiteIndex
 
 # executors need not have the package: the helper travels with its tasks
@@ -246,25 +247,25 @@ def cell_neighbours(groups: DataFrame, k: int, values: Sequence[str] = ("value",
     return _ranking_input(groups).mapInArrow(ranking.cell_rows(k, list(values)), schema)
 
 
-def cell_values(
-    groups: DataFrame,
-    k: int,
-    power: float,
-    radius: float | None,
-    zero_distance: float,
-    values: Sequence[str] = ("value",),
+def cell_means(
+    groups: DataFrame, means: Sequence[Mean], zero_distance: float, values: Sequence[str] = ("value",)
 ) -> DataFrame:
-    """Interpolated values of each cell: map_id, i, j, lon, lat, values; and
-    over_<value> if the groups carry `over`, given values of single cells."""
+    """The columns of `means` of each cell: map_id, i, j, lon, lat, means; and over_<value> if the
+    groups carry `over`, given values of single cells."""
     override = "over" in groups.columns
     key = groups.schema["map_id"].dataType.simpleString()
-    columns = [*values, *(f"over_{v}" for v in values if override)]
+    columns = [*(m.name for m in means), *(f"over_{v}" for v in values if override)]
     schema = f"map_id {key}, i int, j int, lon double, lat double"
     schema += "".join(f", {c} double" for c in columns)
-    run = ranking.cell_surface(k, list(values), power, radius, zero_distance, override)
+    run = ranking.cell_surface(list(means), list(values), zero_distance, override)
     return _ranking_input(groups, *(["over"] if override else [])).mapInArrow(run, schema)
 
 
+def cell_values(groups: DataFrame, k: int, power: float, radius: float | None, zero_distance: float) -> DataFrame:
+    """Interpolated value of each cell: map_id, i, j, lon, lat, value."""
+    return cell_means(groups, [Mean("value", "value", k, power, radius)], zero_distance)
+
+
 # --- the sites themselves --------------------------------------------------
 
 PAGE_KEYS = ("map_id", "zone", "qpage", "member")
@@ -332,14 +333,14 @@ def site_neighbours(groups: DataFrame, k: int, exclude_self: bool = True) -> Dat
 
 
 def site_smoothed(
-    groups: DataFrame, k: int, power: float, zero_distance: float, exclude_self: bool = True
+    groups: DataFrame, means: Sequence[Mean], zero_distance: float, exclude_self: bool = True
 ) -> DataFrame:
-    """The sites with `smoothed`, the weighted mean of their k nearest."""
+    """The sites with the columns of `means`, weighted means of their nearest."""
     key = groups.schema["map_id"].dataType.simpleString()
     schema = (
-        f"map_id {key}, page bigint, point_id bigint, lon double, lat double, value double, "
-        "loc_rank int, smoothed double"
+        f"map_id {key}, page bigint, point_id bigint, lon double, lat double, value double, loc_rank int"
     )
+    schema += "".join(f", {m.name} double" for m in means)
     return groups.select("map_id", "page", "member", "places", "cands").mapInArrow(
-        ranking.site_means(k, exclude_self, power, zero_distance), schema
+        ranking.site_means(list(means), exclude_self, zero_distance), schema
     )

@@ -10,6 +10,7 @@ row per pair to sort, or interpreted lambdas over arrays).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,18 @@ CELLS_PER_BATCH = 65_536
 PAIRS_AT_ONCE = 500_000
 
 
+@dataclass(frozen=True)
+class Mean:
+    """A column `name`: the mean of `value` over the k nearest, weighted by distance to the power
+    of -`power`; strictly within `radius` of the nearest point that point's value."""
+
+    name: str
+    value: str
+    k: int
+    power: float
+    radius: float | None = None
+
+
 class Lists:
     """A list<struct> column as one array per field, with each row's part of it."""
 
@@ -94,6 +107,21 @@ def nearest_set(d: np.ndarray, k: int) -> np.ndarray:
     return order
 
 
+def nearest_sets(d: np.ndarray, ks: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """`nearest_set` and its distances for several k, each taken from the next greater one's."""
+    sets = {}
+    order, near = np.broadcast_to(np.arange(d.shape[1]), d.shape), d
+    for k in sorted(set(ks), reverse=True):
+        if sets:
+            # in the candidates' order again, which decides ties
+            order = np.sort(order, axis=1)
+            near = np.take_along_axis(d, order, axis=1)
+        inner = nearest_set(near, k)
+        order, near = np.take_along_axis(order, inner, axis=1), np.take_along_axis(near, inner, axis=1)
+        sets[k] = order, near
+    return sets
+
+
 def weighted_means(d: np.ndarray, values: np.ndarray, power: float, zero: float) -> np.ndarray:
     """Weights are 1 / d ** power, divided by that of the nearest: the same mean,
     and no power leaves the range of doubles."""
@@ -251,19 +279,13 @@ def _override_single(over: Lists, rows: np.ndarray, i: np.ndarray, j: np.ndarray
     return columns
 
 
-def cell_surface(
-    k: int,
-    values: Sequence[str],
-    power: float,
-    radius: float | None,
-    zero: float,
-    override: bool,
-) -> Callable:
-    """Groups -> one row per cell with its interpolated values.
+def cell_surface(means: Sequence[Mean], values: Sequence[str], zero: float, override: bool) -> Callable:
+    """Groups -> one row per cell with its interpolated values, all from one list of candidates.
 
-    Strictly within `radius` of its nearest point a cell takes that point's
-    value. With `override`, the group's `over` list gives cells further values.
+    With `override`, the group's `over` list gives cells further `values`.
     """
+    ks = [m.k for m in means]
+    most = max(ks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,30 +294,33 @@ def cell_surface(
 
             def parts():
                 for n, i, j, lon, lat in _blocks(batch):
-                    found = near_box(lists.of(n), lon, lat, k)
+                    found = near_box(lists.of(n), lon, lat, most)
                     d = distances(found, lon, lat)
-                    order = nearest_set(d, k)
-                    near = np.take_along_axis(d, order, axis=1)
+                    sets = nearest_sets(d, ks)
                     first = d.argmin(axis=1)
+                    least = d[np.arange(len(d)), first]
                     part = {"i": i, "j": j, "lon": lon, "lat": lat}
-                    for v in values:
-                        part[v] = weighted_means(near, found[v][order], power, zero)
-                        if radius is not None:
-                            captured = d[np.arange(len(d)), first] < radius
-                            part[v] = np.where(captured, found[v][first], part[v])
+                    for m in means:
+                        order, near = sets[m.k]
+                        mean = weighted_means(near, found[m.value][order], m.power, zero)
+                        if m.radius is not None:
+                            mean = np.where(least < m.radius, found[m.value][first], mean)
+                        part[m.name] = mean
                     if over is not None:
                         part.update(_override(over.of(n), i, j, values))
                     yield n, part
                 rows, i, j, lon, lat = _single_cells(batch)
                 for some in _by_pairs(rows, lists.lengths()[rows]):
                     owner, found = lists.flat(rows[some])
-                    _, at, rank, d = nearest_of_each(owner, found, lon[some], lat[some], k)
+                    _, at, rank, d = nearest_of_each(owner, found, lon[some], lat[some], most)
                     part = {"i": i[some], "j": j[some], "lon": lon[some], "lat": lat[some]}
                     first = rank == 0
-                    for v in values:
-                        part[v] = means_of_each(rank, d, found[v][at], power, zero)
-                        if radius is not None:
-                            part[v] = np.where(d[first] < radius, found[v][at][first], part[v])
+                    for m in means:
+                        own = rank < m.k
+                        mean = means_of_each(rank[own], d[own], found[m.value][at[own]], m.power, zero)
+                        if m.radius is not None:
+                            mean = np.where(d[first] < m.radius, found[m.value][at][first], mean)
+                        part[m.name] = mean
                     if over is not None:
                         part.update(_override_single(over, rows[some], i[some], j[some], values))
                     yield rows[some], part
@@ -362,10 +387,11 @@ def site_rows(k: int, exclude_self: bool) -> Callable:
     return run
 
 
-def site_means(k: int, exclude_self: bool, power: float, zero: float) -> Callable:
-    """Groups of sites -> the sites with `smoothed`; without neighbours a site
-    keeps its value."""
-    need = k + 1 if exclude_self else k
+def site_means(means: Sequence[Mean], exclude_self: bool, zero: float) -> Callable:
+    """Groups of sites -> the sites with the columns of `means`, all from one list of candidates;
+    without neighbours a site keeps its value."""
+    most = max(m.k for m in means)
+    need = most + 1 if exclude_self else most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,18 +401,24 @@ def site_means(k: int, exclude_self: bool, power: float, zero: float) -> Callabl
             def parts():
                 for n, own, found in _members(batch, lists, mates, need):
                     but = own["point_id"] if exclude_self else None
-                    order, d = nearest(found, own["lon"], own["lat"], k, but)
-                    if order.shape[1]:
-                        mean = weighted_means(d, found["value"][order], power, zero)
-                    else:
-                        mean = own["value"]
-                    yield n, {**own, "smoothed": mean}
+                    order, d = nearest(found, own["lon"], own["lat"], most, but)
+                    part = dict(own)
+                    for m in means:
+                        near = found[m.value][order[:, : m.k]]
+                        part[m.name] = weighted_means(d[:, : m.k], near, m.power, zero) if near.shape[1] else own["value"]
+                    yield n, part
                 for rows, own, owner, found in _single_members(batch, lists, mates):
                     but = own["point_id"] if exclude_self else None
-                    place, at, rank, d = nearest_of_each(owner, found, own["lon"], own["lat"], k, but)
-                    mean = own["value"].astype(float)
-                    mean[place[rank == 0]] = means_of_each(rank, d, found["value"][at], power, zero)
-                    yield rows, {**own, "smoothed": mean}
+                    place, at, rank, d = nearest_of_each(owner, found, own["lon"], own["lat"], most, but)
+                    part = dict(own)
+                    for m in means:
+                        near = rank < m.k
+                        mean = own["value"].astype(float)
+                        mean[place[rank == 0]] = means_of_each(
+                            rank[near], d[near], found[m.value][at[near]], m.power, zero
+                        )
+                        part[m.name] = mean
+                    yield rows, part
 
             yield from _in_parts(parts(), batch, ["map_id", "page"])
 

@@ -36,7 +36,7 @@ def run_folder(
     out: str,
     power: float,
     gradient_sharp: float = GRADIENT_SHARP,
-    methods: Sequence[str] = tuple(METHODS),
+    methods: Sequence[str] = METHODS,
     listed_method: str = "knn_idw",
     pdfs: DataFrame | None = None,
     changed_only: bool = False,

@@ -15,6 +15,7 @@ from .queries import (
     NODATA_FROM,
     POWER,
     RADIUS,
+    SETTINGS,
     SHARP,
     STORED_AGE,
 )
@@ -99,46 +100,48 @@ def _near(res: float, n: int = NEIGHBOURS, pts: str = "pts") -> list[tuple[str,
     ]
 
 
-def _weight(d: str) -> str:
-    return f"1e0 / pow(CASE WHEN {d} = 0 THEN 1e-10 ELSE {d} END, {POWER}e0)"
+def _weight(d: str, power: float = POWER) -> str:
+    return f"1e0 / pow(CASE WHEN {d} = 0 THEN 1e-10 ELSE {d} END, {power}e0)"
 
 
-SURF = (
-    "surf",
-    f"""SELECT age_ma, i, j, MIN(lon) AS lon, MIN(lat) AS lat,
-        CASE WHEN MIN(d) < {RADIUS}e0 THEN MIN(CASE WHEN rn = 1 THEN value END)
-             ELSE SUM({_weight('d')} * value) / SUM({_weight('d')}) END AS value
-        FROM near GROUP BY age_ma, i, j""",
-)
+def _surf(power: float = POWER, radius: float = RADIUS) -> tuple[str, str]:
+    return (
+        "surf",
+        f"""SELECT age_ma, i, j, MIN(lon) AS lon, MIN(lat) AS lat,
+            CASE WHEN MIN(d) < {radius}e0 THEN MIN(CASE WHEN rn = 1 THEN value END)
+                 ELSE SUM({_weight('d', power)} * value) / SUM({_weight('d', power)}) END AS value
+            FROM near GROUP BY age_ma, i, j""",
+    )
 
 
 def _surface(res: float) -> list[tuple[str, str]]:
-    return [*_cells(res), *_near(res), SURF]
+    return [*_cells(res), *_near(res), _surf()]
 
 
-SMOOTH = [
-    (
-        "knn",
-        f"""SELECT q.age_ma, q.point_id, p.point_id AS neighbour_id, p.value,
-            sqrt((q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat)) AS d,
-            CAST(row_number() OVER (PARTITION BY q.age_ma, q.point_id ORDER BY
-              sqrt((q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat)),
-              p.point_id) AS INT) AS rn
-            FROM pts q JOIN pts p ON q.age_ma = p.age_ma AND q.point_id <> p.point_id
-            QUALIFY rn <= {K}""",
-    ),
-    (
-        "means",
-        f"""SELECT age_ma, point_id, SUM({_weight('d')} * value) / SUM({_weight('d')}) AS mean
-            FROM knn GROUP BY age_ma, point_id""",
-    ),
-    (
-        "smooth",
-        """SELECT p.age_ma, p.point_id, p.lon, p.lat, p.value AS class_value,
-           COALESCE(m.mean, p.value) AS value
-           FROM pts p LEFT JOIN means m ON p.age_ma = m.age_ma AND p.point_id = m.point_id""",
-    ),
-]
+def _smooth(power: float = POWER, k: int = K) -> list[tuple[str, str]]:
+    return [
+        (
+            "knn",
+            f"""SELECT q.age_ma, q.point_id, p.point_id AS neighbour_id, p.value,
+                sqrt((q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat)) AS d,
+                CAST(row_number() OVER (PARTITION BY q.age_ma, q.point_id ORDER BY
+                  sqrt((q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat)),
+                  p.point_id) AS INT) AS rn
+                FROM pts q JOIN pts p ON q.age_ma = p.age_ma AND q.point_id <> p.point_id
+                QUALIFY rn <= {k}""",
+        ),
+        (
+            "means",
+            f"""SELECT age_ma, point_id, SUM({_weight('d', power)} * value) / SUM({_weight('d', power)}) AS mean
+                FROM knn GROUP BY age_ma, point_id""",
+        ),
+        (
+            "smooth",
+            """SELECT p.age_ma, p.point_id, p.lon, p.lat, p.value AS class_value,
+               COALESCE(m.mean, p.value) AS value
+               FROM pts p LEFT JOIN means m ON p.age_ma = m.age_ma AND p.point_id = m.point_id""",
+        ),
+    ]
 
 
 def _pixels(pts: str = "pts", mirror: bool = False, meta: str = "meta") -> list[tuple[str, str]]:
@@ -249,24 +252,41 @@ GAPS = (
 )
 
 
-def _map(method: str, mirror: bool = False, res: float = FINE) -> str:
-    """One method's class shares."""
+def _map_parts(method: str, mirror: bool, res: float, power: float, n: int, k: int, radius: float) -> str:
     pts = "pts" if method == "idw" else "smooth"
-    parts = [
+    return _ctes(
         *_cells(res),
-        *(SMOOTH if method == "knn_idw" else []),
-        *_near(res, pts=pts),
-        SURF,
+        *(_smooth(power, k) if method == "knn_idw" else []),
+        *_near(res, n, pts),
+        _surf(power, radius),
         *_pixels(pts, mirror),
         _overridden(),
         *_coloured("final"),
         *_classed("rgb", "age_ma, i, j"),
         *STATS,
-    ]
-    return f"""{_ctes(*parts)} SELECT {STATS_COLUMNS}, '{method}' AS method,
+    )
+
+
+def _map(method: str, mirror: bool = False, res: float = FINE) -> str:
+    """One method's class shares."""
+    return f"""{_map_parts(method, mirror, res, POWER, NEIGHBOURS, K, RADIUS)}
+        SELECT {STATS_COLUMNS}, '{method}' AS method,
         CAST({POWER} AS DOUBLE) AS power, CAST({SHARP} AS DOUBLE) AS gradient_sharp FROM st"""
 
 
+def _map_settings() -> str:
+    """Both methods' class shares by each setting, one after the other."""
+    shares = [
+        f"""SELECT * FROM ({_map_parts(method, False, COARSE, s.power, s.n_neighbors, s.k, s.point_radius)}
+        SELECT {STATS_COLUMNS}, '{name}' AS setting, '{method}' AS method, CAST({s.power} AS DOUBLE) AS power,
+        CAST({s.n_neighbors} AS INT) AS n_neighbors, CAST({s.k} AS INT) AS k,
+        CAST({s.point_radius} AS DOUBLE) AS point_radius FROM st) {name}_{method}"""
+        for name, s in SETTINGS.items()
+        for method in ("idw", "knn_idw")
+    ]
+    return " UNION ALL ".join(shares)
+
+
 ORIGINAL = (
     "orig",
     """SELECT age_ma, i, j, value, CASE age_ma % 15
@@ -396,7 +416,7 @@ ORACLES: dict[str, str] = {
         SELECT age_ma, i, j, round(value, 6) AS value FROM final""",
     "point_override_mirrored": f"""{_ctes(*_surface(COARSE), *_pixels(mirror=True), _overridden())}
         SELECT age_ma, i, j, round(value, 6) AS value FROM final""",
-    "override_values": f"""{_ctes(PTS, *SMOOTH)} SELECT age_ma, point_id,
+    "override_values": f"""{_ctes(PTS, *_smooth())} SELECT age_ma, point_id,
         round(CASE WHEN point_id % 2 = 1 THEN value ELSE class_value END, 6) AS value FROM smooth""",
     "flip_rows": f"""{_ctes(*_surface(COARSE))} SELECT s.age_ma, m.ny - 1 - s.i AS i, s.j,
         round(s.value, 6) AS value FROM surf s JOIN meta m ON s.age_ma = m.age_ma""",
@@ -404,7 +424,7 @@ ORACLES: dict[str, str] = {
         round(max_lon, 6) AS max_lon, round(min_lat, 6) AS min_lat, round(max_lat, 6) AS max_lat,
         nx, ny, round(pixel_x, 6) AS pixel_x, round(pixel_y, 6) AS pixel_y FROM meta""",
     "grid_cells": f"{_ctes(*_cells(FINE))} SELECT age_ma, i, j, lon, lat FROM cells",
-    "knn_neighbours": f"""{_ctes(PTS, *SMOOTH)}
+    "knn_neighbours": f"""{_ctes(PTS, *_smooth())}
         SELECT age_ma, point_id, rn, neighbour_id, round(d, 6) AS d FROM knn""",
     "idw_neighbours": f"""{_ctes(*_cells(COARSE), *_near(COARSE))}
         SELECT age_ma, i, j, rn, point_id, round(d, 6) AS d, value FROM near""",
@@ -419,7 +439,7 @@ ORACLES: dict[str, str] = {
         ('near', f"""SELECT *, row_number() OVER (PARTITION BY age_ma, i, j ORDER BY d, point_id) AS rn
           FROM pairs WHERE d < {RADIUS}e0"""))}
         SELECT age_ma, i, j, point_id, value FROM near WHERE rn = 1""",
-    "knn_smooth": f"""{_ctes(PTS, *SMOOTH)} SELECT age_ma, point_id, class_value AS value,
+    "knn_smooth": f"""{_ctes(PTS, *_smooth())} SELECT age_ma, point_id, class_value AS value,
         round(value, 6) AS smoothed FROM smooth""",
     "idw_surface": f"""{_ctes(*_surface(FINE))}
         SELECT age_ma, i, j, lon, lat, round(value, 6) AS value FROM surf""",
@@ -434,6 +454,7 @@ ORACLES: dict[str, str] = {
     "map_idw_stats": _map("idw"),
     "map_knn_idw_stats": _map("knn_idw"),
     "map_sweep_stats": f"SELECT * FROM ({_map('idw')}) a UNION ALL SELECT * FROM ({_map('knn_idw')}) b",
+    "map_settings_stats": _map_settings(),
     "map_sweep_stats_mirrored": f"""SELECT * FROM ({_map('idw', True)}) a
         UNION ALL SELECT * FROM ({_map('knn_idw', True)}) b""",
     "map_original": f"""{_ctes(*_surface(COARSE), ORIGINAL, *_pixels(), _overridden('orig'),

@@ -368,7 +368,7 @@ def _map_stats(spark, sf_dir, methods, **options):
 @query
 def map_stats_tenth(spark, sf_dir):
     """Both methods on the grid that maps are drawn on, 0.1 degree: some four million cells a map."""
-    return _map_stats(spark, sf_dir, tuple(maps.METHODS), resolution=grid.RESOLUTION)
+    return _map_stats(spark, sf_dir, maps.METHODS, resolution=grid.RESOLUTION)
 
 
 @query
@@ -387,6 +387,23 @@ def map_sweep_stats(spark, sf_dir):
     return _map_stats(spark, sf_dir, ("idw", "knn_idw"))
 
 
+# drawn by one search
+SETTINGS = {
+    "usual": maps.Setting(POWER, NEIGHBOURS, K, RADIUS),
+    "soft": maps.Setting(1.0, NEIGHBOURS, 3, RADIUS),
+    "wide": maps.Setting(2.0, 5, K, 1.5),
+    "nearest": maps.Setting(POWER, 1, K, RADIUS),
+}
+
+
+@query
+def map_settings_stats(spark, sf_dir):
+    """Both methods for all maps by several parameters in one run."""
+    stats = maps.map_stats_by(views.points(spark, sf_dir), SETTINGS, SHARP, resolution=COARSE)
+    parameters = ("power", "n_neighbors", "k", "point_radius")
+    return by_age(stats, "age_ma", "setting", "method", *STATS, *PERCENTS, *parameters)
+
+
 @query
 def map_sweep_stats_mirrored(spark, sf_dir):
     return _map_stats(spark, sf_dir, ("idw", "knn_idw"), mirror_rows=True)

@@ -3,7 +3,7 @@ from brute import COLUMNS, mean, nearest, random_points
 from pyspark.sql import functions as F
 
 from evidence_surface import session
-from evidence_surface.operators import bounds, capture, grid, locations, pixels
+from evidence_surface.operators import bounds, capture, grid, idw, locations, neighbours, pixels
 from evidence_surface.operators.grid import grid_meta
 from evidence_surface.operators.neighbours import cell_groups, cell_neighbours
 from evidence_surface.operators.pixels import (
@@ -16,7 +16,8 @@ from evidence_surface.operators.pixels import (
 )
 from evidence_surface.operators.sites import build_site_index
 from evidence_surface.operators.summary import run_summary
-from evidence_surface.plans.maps import map_cells, map_stats
+from evidence_surface.plans import maps
+from evidence_surface.plans.maps import map_cells, map_cells_by, map_stats
 
 RASTER = "map_id int, min_lon double, max_lon double, min_lat double, max_lat double, nx int, ny int, pixel_x double, pixel_y double"
 
@@ -82,6 +83,54 @@ def test_map_cells_match_brute_force(spark, mirror_rows):
                 assert c.value == pytest.approx(over.get((c.i, c.j), want), abs=1e-9)
 
 
+SETTINGS = {
+    "a": maps.Setting(4.0),
+    "b": maps.Setting(1.0, 12, 3, 0.15),
+    "c": maps.Setting(4.0, 3, 8, 2.5),
+    "d": maps.Setting(2.0, 1, 0, 0.0),
+    "e": maps.Setting(4.0, 30, 1, 0.15),
+}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("methods", [("idw", "knn_idw"), ("knn_idw",), ("idw",)])
+def test_settings_together_equal_one_after_the_other(spark, monkeypatch, dense, methods):
+    """With ties, a location most points share, and groups of single cells and sites."""
+    if dense:
+        monkeypatch.setattr(neighbours, "SPLIT_ABOVE", 2)
+    rows = random_points(8, maps=2, n=60, copies=0.3) + [(0, 1000 + n, 3.0, 4.0, float(1 + n % 3)) for n in range(90)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {
+        (r.setting, r.map_id, r.method, r.i, r.j): (r.lon, r.lat, r.value)
+        for r in map_cells_by(df, SETTINGS, methods, resolution=4.3).collect()
+    }
+    want = {}
+    for name, s in SETTINGS.items():
+        one = map_cells(df, s.power, methods, 4.3, s.n_neighbors, s.k, s.point_radius)
+        want |= {(name, r.map_id, r.method, r.i, r.j): (r.lon, r.lat, r.value) for r in one.collect()}
+    assert set(got) == set(want)
+    for key, cell in want.items():
+        assert got[key] == pytest.approx(cell, abs=1e-9)
+
+
+def test_settings_share_one_search(spark, monkeypatch):
+    df = spark.createDataFrame(random_points(9, maps=2, n=40), COLUMNS)
+    searches = []
+    for module, name in ((idw, "site_groups"), (maps, "cell_groups")):
+        search = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, search=search, name=name, **o: (searches.append(name), search(*a, **o))[1])
+    plan = map_cells_by(df, SETTINGS, resolution=4.3)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(searches) == ["cell_groups", "site_groups"] and plan.count("MapInArrow") == 1
+
+
+def test_settings_that_draw_nothing_are_refused(spark):
+    df = spark.createDataFrame(random_points(9, maps=1, n=5), COLUMNS)
+    for settings, methods in (({}, ("idw",)), ({"a": maps.Setting(1.0, 0)}, ("idw",)), (SETTINGS, ()), (SETTINGS, ("spline",))):
+        with pytest.raises(ValueError):
+            map_cells_by(df, settings, methods)
+    assert map_cells_by(df.limit(0), SETTINGS).count() == 0
+
+
 def test_map_stats_carry_the_parameters(spark):
     df = spark.createDataFrame(random_points(9, maps=2, n=30), COLUMNS)
     got = map_stats(df, 2.0, resolution=5.0).collect()
