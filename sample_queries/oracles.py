@@ -496,6 +496,11 @@ ORACLES: dict[str, str] = {
     "basin_filter": f"""{_ctes(*GROUPS)} SELECT DISTINCT p.age_ma, p.lon, p.lat, p.n_points, p.tooltip
         FROM places p JOIN named n ON p.age_ma = n.age_ma AND p.lon = n.lon AND p.lat = n.lat
         WHERE n.basin IN ({_CHOSEN})""",
+    "basin_bitmap_filter": f"""{_ctes(PTS, NAMED)} SELECT age_ma, lon, lat, count(*) AS n_points,
+        string_agg(DISTINCT basin, '|' ORDER BY basin) AS basins FROM named GROUP BY age_ma, lon, lat
+        HAVING bool_or(basin IN ({_CHOSEN}))""",
+    "basins_beside_chosen": f"""{_ctes(PTS, NAMED)} SELECT DISTINCT n.age_ma, n.basin FROM named n
+        SEMI JOIN named c ON n.age_ma = c.age_ma AND n.lon = c.lon AND n.lat = c.lat AND c.basin IN ({_CHOSEN})""",
     "feature_bounds": f"""{_ctes(PTS, ('cst', COAST))}
         SELECT age_ma, kind, {ROUNDED_BOUNDS} FROM (
           SELECT age_ma, 'points' AS kind, {BOUNDS} FROM pts GROUP BY age_ma

@@ -16,7 +16,7 @@ from evidence_surface.functions.colour import (
     with_pixel_class,
 )
 from evidence_surface.functions.naming import params_suffix
-from evidence_surface.operators import bounds, capture, grid, idw, locations, neighbours, pixels, summary
+from evidence_surface.operators import basins, bounds, capture, grid, idw, locations, neighbours, pixels, summary
 from evidence_surface.operators.sites import build_site_index
 from evidence_surface.plans import folder, maps
 from evidence_surface.sources import catalog, cells as cell_store, geojson
@@ -530,6 +530,22 @@ def basin_filter(spark, sf_dir):
     return by_age(shown, "age_ma", "lon", "lat", "n_points", "tooltip")
 
 
+@query
+def basin_bitmap_filter(spark, sf_dir):
+    """Locations of the chosen basins, found by bitmaps, with all their basins."""
+    index = basins.basin_index(views.points(spark, sf_dir))
+    shown = basins.named_locations(index, basins.with_any(index, CHOSEN_BASINS))
+    joined = shown.withColumn("basins", F.array_join("basins", "|"))
+    return by_age(joined, "age_ma", "lon", "lat", "n_points", "basins")
+
+
+@query
+def basins_beside_chosen(spark, sf_dir):
+    """The basins at locations of the chosen ones, per map."""
+    index = basins.basin_index(views.points(spark, sf_dir))
+    return by_age(basins.basins_of_maps(index, basins.with_any(index, CHOSEN_BASINS)), "age_ma", "basin")
+
+
 @query
 def feature_bounds(spark, sf_dir):
     points = bounds.feature_bounds(views.points(spark, sf_dir)).withColumn("kind", F.lit("points"))
