@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +15,7 @@ from ..operators.summary import class_stats, run_summary
 from ..session import counted_side, materialise
 from ..sources import catalog, cells as cell_store, geojson
 from .changes import STATE, outdated, point_digests, read_state, write_state
-from .maps import GRADIENT_SHARP, METHODS, map_cells, map_pixels
+from .maps import GRADIENT_SHARP, METHODS, Setting, map_cells, map_cells_by, map_pixels, with_parameters
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,21 @@ class FolderRun:
     drawn: DataFrame
 
 
+def _read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The data sets of `folder`, their points with class numbers, and the run's summary."""
+    found = materialise(geojson.discover_datasets(spark, folder, nested=True), "datasets")
+    reader = geojson.read_features(spark, folder)
+    features = materialise(
+        reader.join(counted_side(found.select("map_id"), "found"), "map_id", "left_semi"), "features"
+    )
+    points = geojson.points_from_features(features.where(~F.col("is_coast"))).withColumn(
+        "value", climate_value(F.col("climate"))
+    )
+    lines = features.where(F.col("is_coast") & F.col("type").isin("LineString", "MultiLineString"))
+    summary = run_summary(found.select("map_id"), points, lines)
+    return found, points, summary
+
+
 def run_folder(
     spark: SparkSession,
     folder: str,
@@ -53,16 +68,7 @@ def run_folder(
     `gradient_sharp` draws their shares anew from the stored cells. What `out` holds is taken as
     these runs wrote it.
     """
-    found = materialise(geojson.discover_datasets(spark, folder, nested=True), "datasets")
-    reader = geojson.read_features(spark, folder)
-    features = materialise(
-        reader.join(counted_side(found.select("map_id"), "found"), "map_id", "left_semi"), "features"
-    )
-    points = geojson.points_from_features(features.where(~F.col("is_coast"))).withColumn(
-        "value", climate_value(F.col("climate"))
-    )
-    lines = features.where(F.col("is_coast") & F.col("type").isin("LineString", "MultiLineString"))
-    summary = run_summary(found.select("map_id"), points, lines)
+    found, points, summary = _read_folder(spark, folder)
 
     drawn_by = {"power": float(power), "methods": sorted(methods), **options}
     drawn_by.pop("broadcast_rows", None)
@@ -102,3 +108,46 @@ def run_folder(
     written = spark.read.parquet(f"{out}/stats").withColumn("map_id", F.col("map_id").cast("string"))
     listed = catalog.read_catalog(spark, f"{out}/catalog")
     return FolderRun(summary, written, listed, drawn.select("map_id", "cells"))
+
+
+def sweep_folder(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    settings: Mapping[str, Setting],
+    gradient_sharp: float = GRADIENT_SHARP,
+    methods: Sequence[str] = METHODS,
+    **options,
+) -> DataFrame:
+    """All data sets of `folder` by several settings, read once and drawn by one search: class shares per map,
+    setting and method, with title, path and parameters, as they lie in `out`/stats.
+
+    Writes `out`/cells and `out`/stats by setting, method and map, and replaces only those of this
+    run. A setting's name is the folder of its paths, below `out`. `options` are those of `map_cells_by`.
+    """
+    by = ("setting", "method", "map_id")
+    _, points, _ = _read_folder(spark, folder)
+    cells = map_cells_by(points, settings, methods, **options).withColumn("map_id", F.col("map_id").cast("string"))
+    cell_store.write_cells(cells, f"{out}/cells", by)
+    drawn = counted_side(points.select(F.col("map_id").cast("string").alias("map_id")).distinct(), "drawn")
+    # names stay texts, those of digits too
+    stored = spark.read.schema(cells.schema).parquet(f"{out}/cells")
+    stored = stored.where(F.col("setting").isin(*settings) & F.col("method").isin(*methods)).join(drawn, "map_id", "left_semi")
+    paths = [
+        F.when(
+            (F.col("setting") == name) & (F.col("method") == m),
+            output_path(f"{out}/{name}", F.col("map_id"), m, params_suffix(s.power, gradient_sharp)),
+        )
+        for name, s in settings.items()
+        for m in methods
+    ]
+    shares = class_stats(with_pixel_class(map_pixels(stored, gradient_sharp)), by)
+    stats = with_parameters(shares, settings).withColumns(
+        {
+            "title": title_label(F.col("map_id")),
+            "path": F.coalesce(*paths),
+            "gradient_sharp": F.lit(float(gradient_sharp)),
+        }
+    )
+    stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/stats")
+    return spark.read.schema(stats.schema).parquet(f"{out}/stats")

@@ -144,11 +144,16 @@ def map_stats_by(
     setting's parameters."""
     pixels = with_pixel_class(map_pixels(map_cells_by(points, settings, methods, **options), gradient_sharp))
     stats = class_stats(pixels, ("map_id", "setting", "method"))
+    return with_parameters(stats, settings).withColumn("gradient_sharp", F.lit(float(gradient_sharp)))
+
+
+def with_parameters(stats: DataFrame, settings: Mapping[str, Setting]) -> DataFrame:
+    """Rows with a `setting` and what it stands for."""
     parameters = {}
     for field, kind in (("power", "double"), ("n_neighbors", "int"), ("k", "int"), ("point_radius", "double")):
         given = [F.when(F.col("setting") == name, F.lit(getattr(s, field))) for name, s in settings.items()]
         parameters[field] = F.coalesce(*given).cast(kind)
-    return stats.withColumns({**parameters, "gradient_sharp": F.lit(float(gradient_sharp))})
+    return stats.withColumns(parameters)
 
 
 def map_original(

@@ -5,7 +5,8 @@ import json
 import os
 import random
 
-from evidence_surface.plans.folder import run_folder
+from evidence_surface.plans.folder import run_folder, sweep_folder
+from evidence_surface.plans.maps import Setting
 
 CLASSES = ["H", "S", "D"]
 
@@ -98,3 +99,28 @@ def test_parameters_and_unfinished_runs(spark, tmp_path):
     run = run_folder(spark, str(folder), out, 5.0, 3.0, changed_only=True, **options)
     assert [tuple(r) for r in run.drawn.collect()] == [("3_ma", True)]
     assert {r["map_id"]: r["status"] for r in run.summary.collect()} == {"1_ma": "skipped", "2_ma": "processed", "3_ma": "processed"}
+
+
+def test_a_sweep_equals_runs_one_after_the_other(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for i in (1, 2):
+        write(folder, f"{i}_ma", some(i))
+    settings = {"01": Setting(3.0, 5, 3), "wide": Setting(1.0, 4, 2, 2.5), "3": Setting(3.0, 1, 3)}
+    got = {(r.setting, r.map_id, r.method): r for r in sweep_folder(spark, str(folder), out, settings, 4.0, resolution=4.0).collect()}
+    assert len(got) == 12
+    for name, s in settings.items():
+        one = run_folder(
+            spark, str(folder), f"{out}/{name}", s.power, 4.0, resolution=4.0, n_neighbors=s.n_neighbors, k=s.k, point_radius=s.point_radius
+        )
+        rows = one.stats.collect()
+        assert len(rows) == 4
+        for r in rows:
+            same = got[name, r.map_id, r.method]
+            assert {c: same[c] for c in r.asDict()} == r.asDict()
+            assert (same.n_neighbors, same.k, same.point_radius) == (s.n_neighbors, s.k, s.point_radius)
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{out}/cells/**/*.parquet", recursive=True)}
+    again = sweep_folder(spark, str(folder), out, {"wide": Setting(2.0, 4, 2)}, 4.0, resolution=4.0).collect()
+    assert sorted({(r.setting, r.power) for r in again}) == [("01", 3.0), ("3", 3.0), ("wide", 2.0)] and len(again) == 12
+    after = glob.glob(f"{out}/cells/**/*.parquet", recursive=True)
+    assert {p for p in before if "setting=wide" not in p} == {p for p in after if "setting=wide" not in p}
