@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.climate import or_default
-from ..session import BROADCAST_ROWS, counted_side, materialise, shuffle_partitions
+from ..session import BROADCAST_ROWS, counted_side, materialise, shuffle_partitions, shuffled_side
 
 _AT = ("map_id", "lon", "lat")
 _SALTS = 32
@@ -56,7 +56,7 @@ def basin_index(points: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Basi
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64(*_AT), F.lit(_SALTS)).cast("int"))
     salts = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     small = names.count() <= broadcast_rows
-    numbered = pairs.join(F.broadcast(names), "basin") if small else salted.join(salts, ["basin", "salt"])
+    numbered = pairs.join(F.broadcast(names), "basin") if small else salted.join(shuffled_side(salts), ["basin", "salt"])
     locations = (
         numbered.selectExpr(*_AT, "n", "number div 64 AS word", "shiftleft(1L, int(number % 64)) AS bit")
         .groupBy(*_AT, "word")

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, shuffled_side
 from .grid import RESOLUTION, grid_meta
 from .neighbours import cell_groups, cell_values, site_groups, site_neighbours, site_smoothed
 from .ranking import Mean
@@ -127,7 +127,7 @@ def crowd_members(
         # a location may hold a large share of all points: spread it
         salted = left_out.withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(HOT_SALTS)))
         salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_SALTS - 1).cast("bigint")))
-        joined = salted.join(crowds.withColumn("salt", salts), [*at, "salt"]).drop("salt")
+        joined = salted.join(shuffled_side(crowds.withColumn("salt", salts)), [*at, "salt"]).drop("salt")
     return joined.where(F.col("point_id") > F.col("last_id")).drop("last_id")
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BROADCAST_ROWS, shuffle_partitions, small_side
+from ..session import BROADCAST_ROWS, shuffle_partitions, shuffled_side, small_side
 from . import ranking
 from .ranking import Mean
 from .sites import SiteIndex
@@ -80,7 +80,7 @@ def _salted_join(groups: DataFrame, boxes: DataFrame, on: list[str], by: Sequenc
     groups are dealt to its copies by a hash of their columns `by`."""
     salted = groups.selectExpr("*", f"pmod(xxhash64({', '.join(by)}), {JOIN_SALTS}) AS salt")
     copies = boxes.selectExpr("*", f"explode(sequence(0L, {JOIN_SALTS - 1}L)) AS salt")
-    return salted.join(copies, [*on, "salt"]).drop("salt")
+    return salted.join(shuffled_side(copies), [*on, "salt"]).drop("salt")
 
 
 def _join_boxes(

@@ -54,4 +54,10 @@ def counted_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataF
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the known row count allows it, else a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= limit else shuffled_side(df)
+
+
+def shuffled_side(df: DataFrame) -> DataFrame:
+    """A side that is shuffled whatever Spark takes its size for: it goes by the bytes of compressed
+    files, knows nothing of copies made by `explode`, and would build the whole side in the driver."""
+    return df.hint("merge")

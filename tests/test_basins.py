@@ -66,3 +66,22 @@ def test_no_points(spark):
     assert index.names.count() == 0 and basins.with_any(index, ["a"]).count() == 0 and basins.with_any(index, None).count() == 0
     assert basins.named_locations(index, index.locations).count() == 0
     assert basins.basins_of_maps(index, index.locations.where(F.lit(True))).count() == 0
+
+
+def test_copies_of_names_stay_off_the_driver(spark):
+    """Beyond the limit the dictionary's copies are joined by a shuffle, whatever Spark estimates."""
+    rows = [(1, float(n % 7), 0.0, f"B{n % 11}") for n in range(60)]
+    points = spark.createDataFrame(rows, "map_id int, lon double, lat double, basin string")
+    plans = []
+    kept = basins.materialise
+
+    def noted(df, name):
+        if name == "basin_bitmaps":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(basins, "materialise", noted)
+        basins.basin_index(points, broadcast_rows=0)
+    assert "BroadcastHashJoin" not in plans[0]

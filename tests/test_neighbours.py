@@ -187,3 +187,24 @@ def test_nearest_ties_take_the_lower_id(spark):
     # the k-th distance is tied: the value set takes the lower id too
     one = idw_surface(df, 1.0, 2.0, n_neighbors=1).join(cells, ["i", "j"]).first()
     assert one.value == 1.0
+
+
+def executed_plan(df):
+    """The plan that ran, with what Spark changed on the way."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_beyond_the_limit_stay_off_the_driver(spark):
+    """Spark takes a side's size from compressed files and does not count copies made by
+    explode: left to it, the copies of all sites are built in the driver."""
+    rows = random_points(3, maps=2, clustered=True)
+    df = spark.createDataFrame(rows, COLUMNS)
+    index = build_site_index(df, 4, page_bits=2, fanout_bits=2)
+    assert len(index.levels) > 1 and index.full_locations
+    cells = cell_groups(grid_meta(df, 20.0), index, 4, broadcast_rows=0)
+    assert "BroadcastHashJoin" not in executed_plan(cells)
+    near = point_neighbours(df, index, 3, broadcast_rows=0)
+    assert "BroadcastHashJoin" not in executed_plan(near)
+    cells = cell_groups(grid_meta(df, 20.0), index, 4)
+    assert "BroadcastHashJoin" in executed_plan(cells)
