@@ -274,17 +274,132 @@ def _map(method: str, mirror: bool = False, res: float = FINE) -> str:
         CAST({POWER} AS DOUBLE) AS power, CAST({SHARP} AS DOUBLE) AS gradient_sharp FROM st"""
 
 
-def _map_settings() -> str:
-    """Both methods' class shares by each setting, one after the other."""
-    shares = [
-        f"""SELECT * FROM ({_map_parts(method, False, COARSE, s.power, s.n_neighbors, s.k, s.point_radius)}
-        SELECT {STATS_COLUMNS}, '{name}' AS setting, '{method}' AS method, CAST({s.power} AS DOUBLE) AS power,
-        CAST({s.n_neighbors} AS INT) AS n_neighbors, CAST({s.k} AS INT) AS k,
-        CAST({s.point_radius} AS DOUBLE) AS point_radius FROM st) {name}_{method}"""
-        for name, s in SETTINGS.items()
-        for method in ("idw", "knn_idw")
+SIDE = 16  # cells per side of a block of `_settings_cells`
+MOST = max(s.n_neighbors for s in SETTINGS.values())
+SMOOTHED = list(dict.fromkeys((s.power, s.k) for s in SETTINGS.values()))
+# a point's class value, and those smoothed as the settings want it
+VALUES = ["v", *(f"v{n}" for n in range(len(SMOOTHED)))]
+
+
+def _settings_points() -> list[tuple[str, str]]:
+    """Points with all VALUES, and the pixels that they override."""
+    smoothed = ", ".join(
+        f"SUM({_weight('d', power)} * value) FILTER (rn <= {k}) / SUM({_weight('d', power)}) FILTER (rn <= {k}) AS {v}"
+        for v, (power, k) in zip(VALUES[1:], SMOOTHED)
+    )
+    both = ", ".join(f"COALESCE(m.{v}, p.value) AS {v}" for v in VALUES[1:])
+    most = ", ".join(f"MAX({v}) AS {v}" for v in VALUES)
+    kept = ", ".join(VALUES)
+    return [
+        _smooth(k=max(k for _, k in SMOOTHED))[0],
+        ("means", f"SELECT age_ma, point_id, {smoothed} FROM knn GROUP BY age_ma, point_id"),
+        (
+            "placed",
+            f"""SELECT p.age_ma, p.point_id, p.lon, p.lat, p.value AS v, {both}
+                FROM pts p LEFT JOIN means m ON p.age_ma = m.age_ma AND p.point_id = m.point_id""",
+        ),
+        *[
+            (name, sql.replace("MAX(value) AS value", most).replace("p.value", kept).replace(", value", f", {kept}"))
+            for name, sql in _pixels("placed")
+        ],
     ]
-    return " UNION ALL ".join(shares)
+
+
+def _settings_cells(res: float) -> list[tuple[str, str]]:
+    """Every cell with `near`, its MOST nearest points, and `over`, the pixels of its block.
+
+    Of a block's cells, a point can be among them only if it is no farther from the block than
+    the MOST-th least of the points' greatest distances from it.
+    """
+    sides = (("x", "lon"), ("y", "lat"))
+    gap = [f"greatest({c}0 - p.{at}, p.{at} - {c}1, 0e0)" for c, at in sides]
+    span = [f"greatest(p.{at} - {c}0, {c}1 - p.{at})" for c, at in sides]
+    norm = "sqrt({0} * {0} + {1} * {1})"
+    d = norm.format("(lon - c.lon)", "(lat - c.lat)")
+    fields = ", ".join(f"{c} := p.{c}" for c in ("point_id", "lon", "lat", *VALUES))
+    kept = ", ".join(f"{v} := c.{v}" for v in VALUES)
+    given = ", ".join(f"{c} := {c}" for c in ("i", "j", *VALUES))
+    return [
+        (
+            "blocks",
+            f"""SELECT *, min_lon + bj * {SIDE} * {res}e0 AS x0, min_lon + (least(bj * {SIDE} + {SIDE}, nx) - 1) * {res}e0 AS x1,
+                min_lat + bi * {SIDE} * {res}e0 AS y0, min_lat + (least(bi * {SIDE} + {SIDE}, ny) - 1) * {res}e0 AS y1
+                FROM (SELECT *, unnest(range((nx - 1) // {SIDE} + 1)) AS bj
+                  FROM (SELECT *, unnest(range((ny - 1) // {SIDE} + 1)) AS bi FROM meta) r) b""",
+        ),
+        (
+            "reaches",
+            f"""SELECT b.age_ma, bi, bj, CASE WHEN COUNT(*) >= {MOST}
+                THEN list_max(min({norm.format(*span)}, {MOST})) * (1 + 1e-9) + 1e-9 END AS reach
+                FROM blocks b JOIN pts p ON b.age_ma = p.age_ma GROUP BY b.age_ma, bi, bj""",
+        ),
+        (
+            "on_block",
+            f"""SELECT age_ma, i // {SIDE} AS bi, j // {SIDE} AS bj, list(struct_pack({given})) AS over
+                FROM pix GROUP BY 1, 2, 3""",
+        ),
+        (
+            "near_block",
+            f"""SELECT b.age_ma, bi, bj, list(struct_pack({fields})) AS around, any_value(over) AS over
+                FROM blocks b JOIN reaches r USING (age_ma, bi, bj) LEFT JOIN on_block o USING (age_ma, bi, bj)
+                JOIN placed p ON b.age_ma = p.age_ma
+                WHERE reach IS NULL OR {norm.format(*gap)} <= reach GROUP BY b.age_ma, bi, bj""",
+        ),
+        (
+            "near",
+            f"""SELECT age_ma, i, j, list_sort(list_transform(around, lambda c:
+                struct_pack(d := {d}, point_id := c.point_id, {kept})))[1:{MOST}] AS near, over
+                FROM cells JOIN near_block USING (age_ma) WHERE i // {SIDE} = bi AND j // {SIDE} = bj""",
+        ),
+    ]
+
+
+def _settings_surfaces() -> list[tuple[str, str]]:
+    """Every cell's value by each setting and method, a row each."""
+    lists = ", ".join(f"list_transform(near, lambda c: c.{c}) AS {c}" for c in ("d", *VALUES))
+    weights = list(dict.fromkeys((s.n_neighbors, s.power) for s in SETTINGS.values()))
+    weighed = ", ".join(
+        f"list_transform(d[1:{n}], lambda c: {_weight('c', power)}) AS w{m}" for m, (n, power) in enumerate(weights)
+    )
+    drawn = []
+    for name, s in SETTINGS.items():
+        w = f"w{weights.index((s.n_neighbors, s.power))}"
+        for method in ("idw", "knn_idw"):
+            v = "v" if method == "idw" else VALUES[1 + SMOOTHED.index((s.power, s.k))]
+            drawn.append(
+                f"""struct_pack(setting := '{name}', method := '{method}', value := COALESCE(given.{v},
+                CASE WHEN d[1] < {s.point_radius}e0 THEN {v}[1]
+                ELSE list_inner_product({w}, {v}[1:{s.n_neighbors}]) / list_sum({w}) END))"""
+            )
+    return [
+        ("lists", f"SELECT age_ma, {lists}, list_filter(over, lambda c: c.i = i AND c.j = j)[1] AS given FROM near"),
+        ("weights", f"SELECT *, {weighed} FROM lists"),
+        ("surf", f"SELECT age_ma, unnest([{', '.join(drawn)}]) AS drawn FROM weights"),
+        ("final", "SELECT age_ma, drawn.setting, drawn.method, drawn.value FROM surf"),
+    ]
+
+
+def _map_settings(res: float = TENTH) -> str:
+    """Both methods' class shares by each setting, on the grid that maps are drawn on: a cell is
+    compared with the points near its block, as comparing it with every point takes too long."""
+    given = ", ".join(
+        f"('{name}', {s.power}e0, {s.n_neighbors}, {s.k}, {s.point_radius}e0)" for name, s in SETTINGS.items()
+    )
+    key = "age_ma, setting, method"
+    # rows that DuckDB deals to its threads
+    cells = [(name, sql.replace("SELECT", "SELECT DISTINCT") if name == "rws" else sql) for name, sql in _cells(res)]
+    return f"""{_ctes(
+        *cells,
+        *_settings_points(),
+        *_settings_cells(res),
+        *_settings_surfaces(),
+        *_coloured("final", f"{key}, value"),
+        *_classed("rgb", key),
+        (STATS[0][0], STATS[0][1].replace("age_ma", key)),
+        STATS[1],
+    )}
+        SELECT {STATS_COLUMNS}, setting, method, power, CAST(n_neighbors AS INT) AS n_neighbors, CAST(k AS INT) AS k,
+        point_radius FROM st JOIN (VALUES {given}) g(setting, power, n_neighbors, k, point_radius) USING (setting)"""
 
 
 ORIGINAL = (

@@ -398,8 +398,8 @@ SETTINGS = {
 
 @query
 def map_settings_stats(spark, sf_dir):
-    """Both methods for all maps by several parameters in one run."""
-    stats = maps.map_stats_by(views.points(spark, sf_dir), SETTINGS, SHARP, resolution=COARSE)
+    """Both methods for all maps by several parameters in one run, on the grid that maps are drawn on."""
+    stats = maps.map_stats_by(views.points(spark, sf_dir), SETTINGS, SHARP, resolution=grid.RESOLUTION)
     parameters = ("power", "n_neighbors", "k", "point_radius")
     return by_age(stats, "age_ma", "setting", "method", *STATS, *PERCENTS, *parameters)
 
